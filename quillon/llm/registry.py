@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_query import op1_bpe
+from .exact_dedup_query import OP4_SQL, op4_exact_dedup
+from .line_dedup_query import OP10_SQL, op10_line_dedup
+from .packing_query import op5_best_fit_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact_dedup": OP4_SQL,
+        "op10_line_dedup": OP10_SQL,
+    }
