@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_query import op1_bpe
 from .exact_dedup_query import OP4_SQL, op4_exact_dedup
 from .line_dedup_query import OP10_SQL, op10_line_dedup
+from .minhash_query import op8_minhash
 from .packing_query import op5_best_fit_packing
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op8_minhash": op8_minhash,
         "op10_line_dedup": op10_line_dedup,
     }
 
