@@ -11,11 +11,13 @@ from .exact_dedup_query import OP4_SQL, op4_exact_dedup
 from .line_dedup_query import OP10_SQL, op10_line_dedup
 from .minhash_query import op8_minhash
 from .packing_query import op5_best_fit_packing
+from .suffix_dedup_query import op3_suffix_array
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_suffix_array": op3_suffix_array,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op8_minhash": op8_minhash,
