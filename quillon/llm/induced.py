@@ -20,9 +20,9 @@ import numpy as np
 from .common import local_tmp, remove_tree
 
 #: Tuples of one block of the queue, and bytes that wait in memory before they go to disk.
-BLOCK_TUPLES = 40_000
+BLOCK_TUPLES = 16_000
 MEMORY_BYTES = 96_000_000
-_HEAD = 16_384
+_HEAD = 65_536
 _FAR = np.int64(1) << 40
 
 
@@ -46,7 +46,7 @@ class BlockQueue:
     def push(self, key: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.late.append((key, pos, lcp))
         self.late_n += len(key)
-        if self.late_n > 2 * BLOCK_TUPLES:
+        if self.late_n > 80_000:
             self.settle()
 
     def settle(self) -> None:
@@ -118,6 +118,29 @@ def _doubling(x: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
+def _behind(x: np.ndarray, first) -> np.ndarray:
+    """x one place later, with first at its head."""
+    out = np.empty_like(x)
+    out[0] = first
+    out[1:] = x[:-1]
+    return out
+
+
+def _inserted(at: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Each pair's second array inserted into its first before the places at, which ascend."""
+    n = len(pairs[0][0]) + len(at)
+    to = at + np.arange(len(at))
+    old = np.ones(n, bool)
+    old[to] = False
+    out = []
+    for a, b in pairs:
+        x = np.empty(n, a.dtype)
+        x[old] = a
+        x[to] = b
+        out.append(x)
+    return out
+
+
 def _scan(text, sigma, counts, seeds, seed_lcp, runs, cap, folder, memory, down):
     """One scan. seeds: positions in order of the scan with the prefix each has in common with the one before it.
     down: from the largest symbol to the smallest; else upwards. Yields (positions, prefixes, is seed) in scan order."""
@@ -139,8 +162,9 @@ def _scan(text, sigma, counts, seeds, seed_lcp, runs, cap, folder, memory, down)
             order = np.argsort(key, kind="stable")
             key, pos, lcp = key[order], np.concatenate([p1, seeds[s]])[order], np.concatenate([l1, seed_lcp[s]])[order]
             top = queue.first[b + 1]
+            head = _HEAD
             while len(key):
-                h_key, h_pos = key[:_HEAD], pos[:_HEAD]
+                h_key, h_pos = key[:head], pos[:head]
                 here = text[h_pos].astype(np.int64)
                 prev = text[np.maximum(h_pos - 1, 0)].astype(np.int64)
                 is_seed = (h_key & 1).astype(bool)
@@ -154,10 +178,11 @@ def _scan(text, sigma, counts, seeds, seed_lcp, runs, cap, folder, memory, down)
                 low = np.minimum.accumulate(made)
                 stop = h_key[1:] > 2 * low[:-1]
                 n = int(np.argmax(stop)) + 1 if stop.any() else len(h_key)
+                head = min(_HEAD, max(128, 3 * n))
                 b_key, b_pos = h_key[:n], h_pos[:n]
                 # the prefix with what was popped just before
                 symbol, kind, run = b_key >> 1, is_seed[:n], runs[b_pos]
-                s0, q0, r0 = np.r_[before[0], symbol[:-1]], np.r_[before[1], kind[:-1]], np.r_[np.uint8(before[2]), run[:-1]]
+                s0, q0, r0 = _behind(symbol, before[0]), _behind(kind, before[1]), _behind(run, before[2])
                 lam = np.where(s0 != symbol, 0, np.where(kind & ~q0, np.minimum(r0, run), lcp[:n])).astype(np.uint8)
                 yield b_pos, lam, kind
                 before = (int(symbol[-1]), bool(kind[-1]), int(run[-1]))
@@ -167,25 +192,26 @@ def _scan(text, sigma, counts, seeds, seed_lcp, runs, cap, folder, memory, down)
                     c = prev[g]
                     o = np.argsort(c, kind="stable")
                     g, c = g[o], c[o]
-                    head = np.r_[True, c[1:] != c[:-1]]
+                    opens = np.ones(len(c), bool)
+                    np.not_equal(c[1:], c[:-1], out=opens[1:])
                     low_here = np.minimum.accumulate(lam)
                     new = np.empty(len(g), np.int64)
-                    f = np.flatnonzero(head)
+                    f = np.flatnonzero(opens)
                     t0 = last[c[f]]
                     past = np.searchsorted(since, t0, "right")  # cap + 1 where nothing came since
                     new[f] = np.where(t0 < 0, 0, 1 + np.minimum(np.minimum(past, cap), low_here[g[f]]))
-                    r = np.flatnonzero(~head)
+                    r = np.flatnonzero(~opens)
                     if len(r):
                         a = g[r - 1] + 1
                         new[r] = 1 + _least(_doubling(lam, int((g[r] - a).max()) + 1), a, g[r]).astype(np.int64)
                     new = np.minimum(new, cap).astype(np.uint8)
-                    ends = np.r_[f[1:], len(c)] - 1
+                    ends = np.append(f[1:], len(c)) - 1
                     last[c[ends]] = time + g[ends]
                     born = b_pos[g] - 1
                     inside = int(np.searchsorted(c, top))
                     if inside:
                         at = np.searchsorted(key, 2 * c[:inside], "right")
-                        key, pos, lcp = np.insert(key, at, 2 * c[:inside]), np.insert(pos, at, born[:inside]), np.insert(lcp, at, new[:inside])
+                        key, pos, lcp = _inserted(at, [(key, 2 * c[:inside]), (pos, born[:inside]), (lcp, new[:inside])])
                     if inside < len(c):
                         queue.push(c[inside:], born[inside:], new[inside:])
                 seen = np.full(cap + 1, -1, np.int64)
