@@ -35,7 +35,7 @@ class Near:
     bands: int = 32
     rows: int = 4
     #: shingles in one block of a candidate group
-    block: int = 400_000
+    block: int = 150_000
 
 
 _words: dict[bytes, int] = {}
@@ -235,7 +235,7 @@ def near_dedup(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     members = groups.join(parts, "component").select(F.col("node").alias("_q_id"), "component", "parts", mine.alias("mine"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("mine")))
     dealt = (
-        rows.join(members, "_q_id")
+        rows.join(members.hint("merge"), "_q_id")
         .select("_q_id", "_q_text", "component", "mine", F.explode(others).alias("other"))
         .select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "_q_id", "_q_text")
         .repartition("component", "i", "j")
