@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_query import op1_bpe
+from .embedding_dedup_query import op2_embedding_dedup
 from .exact_dedup_query import OP4_SQL, op4_exact_dedup
 from .line_dedup_query import OP10_SQL, op10_line_dedup
 from .minhash_query import op8_minhash
@@ -17,6 +18,7 @@ from .suffix_dedup_query import op3_suffix_array
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_suffix_array": op3_suffix_array,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
