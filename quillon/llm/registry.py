@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_query import op1_bpe
+from .classifier_queries import op6_toxicity, op7_quality
 from .embedding_dedup_query import op2_embedding_dedup
 from .exact_dedup_query import OP4_SQL, op4_exact_dedup
 from .line_dedup_query import OP10_SQL, op10_line_dedup
@@ -22,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_array": op3_suffix_array,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
         "op8_minhash": op8_minhash,
         "op10_line_dedup": op10_line_dedup,
     }
