@@ -10,6 +10,7 @@ from .bpe_query import op1_bpe
 from .classifier_queries import op6_toxicity, op7_quality
 from .embedding_dedup_query import op2_embedding_dedup
 from .exact_dedup_query import OP4_SQL, op4_exact_dedup
+from .license_query import OP9_SQL, op9_license_scan
 from .line_dedup_query import OP10_SQL, op10_line_dedup
 from .minhash_query import op8_minhash
 from .packing_query import op5_best_fit_packing
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
         "op8_minhash": op8_minhash,
+        "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
     }
 
@@ -33,5 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": OP4_SQL,
+        "op9_license_scan": OP9_SQL,
         "op10_line_dedup": OP10_SQL,
     }
