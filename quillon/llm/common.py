@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Octets that count as white space wherever a contract names [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -135,6 +137,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_of(made: str, docs: DataFrame, carry: Sequence[str]) -> T.StructType:
+    """The fields in `made` (a DDL string), then those of docs that are carried along."""
+    out = T.StructType.fromDDL(made)
+    for name in carry:
+        out.add(name, docs.schema[name].dataType)
+    return out
+
+
 def remove_tree(path: str) -> None:
     import shutil
 

@@ -4,13 +4,13 @@ threshold, put the rest together by position."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, schema_of
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -24,18 +24,20 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """docs to (id_col, kept_text string, n_lines long, n_dropped long), one row per input row.
 
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased. Keys of at least min_chars code
     points in at least min_docs distinct documents lose all their lines but those in the largest id that has the key.
     A null or empty text is one empty line. Rows that share an id count as one document and lose the same keys. A row
-    with a null id counts as no document and keeps every line. Columns of docs other than the two do not matter.
+    with a null id counts as no document and keeps every line. Other columns of docs do not matter; those named in
+    carry come along.
 
     A frequent line costs one partial count per task; what a document loses is bounded by its own lines.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_q_text"))
+    whole = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_q_text"), *(F.col(c).alias(f"_q_{k}") for k, c in enumerate(carry)))
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,8 +63,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 texts.append(b"\n".join(kept))
                 totals.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            out = [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, ["_q_id", "kept_text", "n_lines", "n_dropped"])
+            out = [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    out = rows.join(lost, "_q_id", "left").mapInArrow(reassemble, f"_q_id {kind}, kept_text string, n_lines long, n_dropped long")
-    return out.withColumnRenamed("_q_id", id_col)
+    schema = schema_of(f"`{id_col}` {kind}, kept_text string, n_lines long, n_dropped long", docs, carry)
+    joined = whole.join(lost, "_q_id", "left").select("_q_id", "_q_text", "_q_lost", *(f"_q_{k}" for k in range(len(carry))))
+    return joined.mapInArrow(reassemble, schema)

@@ -169,3 +169,15 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], [id_col, "score"])
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+
+
+def keep_good(docs: DataFrame, trees: Trees, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores `least` or more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(trees.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,14 +12,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8_views
+from .common import materialize, schema_of, utf8_views
 from .induced import suffix_sort
 
 _GRAM = 32
@@ -261,10 +261,9 @@ def _later(pos: np.ndarray, head: np.ndarray) -> np.ndarray:
     return pos[many & (pos != np.repeat(np.minimum.reduceat(pos, f), n))]
 
 
-def _cut(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    names = ["_q_id", "n_bytes", "spans", "kept"]
+def _cut(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_bytes, spans, kept = [], [], []
+        n_bytes, spans, kept, texts = [], [], [], []
         for text, found in zip(batch.column(1), batch.column(2), strict=True):
             raw = text.as_py()
             n_bytes.append(len(raw))
@@ -280,19 +279,22 @@ def _cut(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatc
                     pieces.append(raw[end:a])
                     end = b
             kept.append(b"".join([*pieces, raw[end:]]) if own else raw)
+            texts.append(kept[-1].decode("utf-8", "ignore"))
             spans.append([{"start": a, "stop": b} for a, b in own])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *batch.columns[3:]], names)
 
 
-def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs to (id_col, n_bytes long, spans array<struct<start, stop>>, kept binary), one row per input row.
+def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """docs to (id_col, n_bytes long, spans array<struct<start, stop>>, kept binary, kept_text string), one row per
+    input row.
 
     A text is its UTF-8 bytes (null: none); a match never crosses documents. Each byte goes that a string of `span`
     bytes covers which also starts earlier: in a smaller id, or earlier in the same document. Strings are judged on the
-    input. spans are the maximal removed runs, kept the bytes left, which may cut a character in two. A row with a null
+    input. spans are the maximal removed runs, kept the bytes left; kept_text is kept without
+    the bytes of characters that were cut in two. A row with a null
     id is kept whole and matches nothing. Rows that share an id and a text are one document. id_col is a whole number.
-    span is at least 32 and at most 254.
+    span is at least 32 and at most 254. Other columns of docs do not matter; those named in carry come along.
     """
     if not _GRAM <= span <= 254:
         raise ValueError("span must be from 32 to 254")
@@ -310,6 +312,7 @@ def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 8_000_000,
     fetched = rows.join(wanted, "_q_id").mapInArrow(lambda b: _fetch(b, span, shards), "shard int, doc binary, start binary, run binary, raw binary")
     sorted_ = materialize(fetched.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _sort(b, span), _SPAN), "suffix-repeats")
     found = spans.where("shard < 0").union(sorted_).groupBy("doc").agg(F.collect_list(F.struct("start", "run")).alias("_q_found"))
-    out = rows.join(found.withColumnRenamed("doc", "_q_id"), "_q_id", "left")
-    out = out.mapInArrow(lambda b: _cut(b, span), "_q_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
-    return out.withColumnRenamed("_q_id", id_col)
+    whole = docs.select(F.col(id_col).cast("long").alias("_q_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_q_text"), *(F.col(c).alias(f"_q_{k}") for k, c in enumerate(carry)))
+    out = whole.join(found.withColumnRenamed("doc", "_q_id"), "_q_id", "left").select("_q_id", "_q_text", "_q_found", *(f"_q_{k}" for k in range(len(carry))))
+    schema = schema_of(f"`{id_col}` long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary, kept_text string", docs, carry)
+    return out.mapInArrow(lambda b: _cut(b, span, schema.names), schema)
