@@ -161,6 +161,7 @@ def _scan(text, sigma, counts, seeds, seed_lcp, runs, cap, folder, memory, down)
             key = np.concatenate([2 * k1, 2 * seed_key[s] + 1])
             order = np.argsort(key, kind="stable")
             key, pos, lcp = key[order], np.concatenate([p1, seeds[s]])[order], np.concatenate([l1, seed_lcp[s]])[order]
+            pos = pos.astype(np.int64)
             top = queue.first[b + 1]
             head = _HEAD
             while len(key):
@@ -242,7 +243,8 @@ def _names(text: np.ndarray, sigma: int, stars: np.ndarray) -> tuple[np.ndarray,
     """(order, rank of each) of the substrings from each S* position to the next, both ends included. Where one is a
     prefix of another it is the larger: its last symbol is of the S kind there, the other's of the L kind."""
     m = len(stars)
-    length = np.r_[np.diff(stars) + 1, 1]
+    stars = stars.astype(np.int32 if len(text) < 1 << 31 else np.int64)
+    length = np.append(np.diff(stars) + 1, 1)
     bits = int(sigma + 1).bit_length()
     per = max(1, 63 // bits)
     end = (1 << bits) - 1
@@ -267,7 +269,7 @@ def _names(text: np.ndarray, sigma: int, stars: np.ndarray) -> tuple[np.ndarray,
         at += per
         sub = np.cumsum(new) - 1
         many = np.bincount(sub)[sub] > 1
-        active = active[many & (length[active] > at)]
+        active = active[many & (length[active] >= at)]  # one that ends just here has its end yet to compare
     order = np.argsort(rank, kind="stable")
     return order, rank
 
@@ -283,15 +285,17 @@ def suffix_sort(text: np.ndarray, sigma: int, cap: int, memory: int = MEMORY_BYT
         if n == 1:
             yield np.zeros(1, np.int64), np.zeros(1, np.uint8)
             return
-        step = np.sign(np.diff(text.astype(np.int64) if text.dtype.itemsize < 8 else text)).astype(np.int8)
+        rises = text[1:] > text[:-1]
+        index = np.int32 if n < 1 << 31 else np.int64
+        here = np.arange(n - 1, dtype=index)
         # the next place where symbols differ decides between S and L
-        place = np.where(step != 0, np.arange(n - 1), n)
-        nxt = np.minimum.accumulate(place[::-1])[::-1]
+        nxt = np.minimum.accumulate(np.where(text[1:] != text[:-1], here, index(n - 1))[::-1])[::-1]
         small = np.empty(n, bool)
-        small[:-1] = step[np.minimum(nxt, n - 2)] > 0
+        small[:-1] = rises[np.minimum(nxt, n - 2)]
         small[-1] = True
-        runs = np.minimum(np.r_[nxt - np.arange(n - 1) + 1, 1], cap).astype(np.uint8)
-        del step, place, nxt
+        runs = np.ones(n, np.uint8)
+        runs[:-1] = np.minimum(nxt - here + 1, cap)
+        del rises, here, nxt
         stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
         order, rank = _names(text, sigma, stars)
         ordered = rank[order]
@@ -299,11 +303,13 @@ def suffix_sort(text: np.ndarray, sigma: int, cap: int, memory: int = MEMORY_BYT
         m = len(stars)
         equal = np.zeros(m, np.int64)  # names in common with the one before
         if not new.all():
-            name = np.empty(m, np.int64)
+            name = np.empty(m, np.int32 if m < 1 << 31 else np.int64)
             name[order] = np.cumsum(new) - 1
+            del rank, ordered
             parts = list(suffix_sort(name, int(new.sum()), cap // 2 + 1, memory, folder))
             order = np.concatenate([p for p, _ in parts])[::-1]
             equal[1:] = np.concatenate([v for _, v in parts])[1:][::-1]
+            del parts, name
         pos = stars[order]
         seed_lcp = np.zeros(m, np.uint8)
         if m > 1:
@@ -315,8 +321,10 @@ def suffix_sort(text: np.ndarray, sigma: int, cap: int, memory: int = MEMORY_BYT
             x, y = stars[np.minimum(i + e, m - 1)][near], stars[np.minimum(j + e, m - 1)][near]
             far[near] = np.minimum(cap, ahead[near] + _direct(text, x, y, cap))
             seed_lcp[1:] = far
+        del order, new, equal
         large = np.bincount(text[~small], minlength=sigma)
-        got = [(p[~s], v[~s]) for p, v, s in _scan(text, sigma, large, pos, seed_lcp, runs, cap, folder, memory, False)]
+        index = np.int32 if n < 1 << 31 else np.int64
+        got = [(p[~s].astype(index), v[~s]) for p, v, s in _scan(text, sigma, large, pos, seed_lcp, runs, cap, folder, memory, False)]
         l_pos = np.concatenate([p for p, _ in got])[::-1] if got else np.zeros(0, np.int64)
         l_lcp = np.concatenate([v for _, v in got])[::-1] if got else np.zeros(0, np.uint8)
         l_lcp = np.r_[np.zeros(1, np.uint8), l_lcp[:-1]] if len(l_lcp) else l_lcp

@@ -207,14 +207,38 @@ def _fetch(batches: Iterable[pa.RecordBatch], span: int, shards: int) -> Iterato
         yield packed()
 
 
+def _repeated(raw: np.ndarray, size: np.ndarray, run: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first window, windows) of the parts of stretches whose windows can repeat: a window whose first or last
+    32 bytes, or the first 32 of its second half, occur once in the shard is the only one of its kind."""
+    h = _gram_hashes(raw)
+    order = np.argsort(h)
+    equal = h[order][1:] == h[order][:-1]
+    often = np.zeros(len(raw), bool)
+    often[order[1:]] |= equal
+    often[order[:-1]] |= equal
+    del h, order
+    window = np.repeat(np.cumsum(size) - size, run) + _within(run)
+    good = often[window] & often[window + span // 2] & often[window + span - _GRAM]
+    owner = np.repeat(np.arange(len(run)), run)
+    edge = np.r_[True, owner[1:] != owner[:-1]]
+    first = np.flatnonzero(good & (edge | ~np.r_[False, good[:-1]]))
+    last = np.flatnonzero(good & (np.r_[edge[1:], True] | ~np.r_[good[1:], False]))
+    return owner[first], _within(run)[first], last - first + 1
+
+
 def _sort(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Suffix-sort each shard; windows with an earlier equal one come out as repeats."""
     for _, rows in _runs(_rows(batches)):
         doc, start, run = (np.frombuffer(b"".join(c), k).astype(np.int64) for c, k in zip(list(zip(*rows))[:3], (np.int64, np.int64, np.int32), strict=True))
         raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        del rows
         # earlier places first, so that a place in the text tells which window is earlier
         size = run + span - 1
         from_ = np.cumsum(size) - size
+        own, skip, run = _repeated(raw, size, run, span)
+        if not len(own):
+            continue
+        doc, start, from_, size = doc[own], start[own] + skip, from_[own] + skip, run + span - 1
         order = np.lexsort((start, doc))
         size_o = size[order]
         at = np.cumsum(size_o + 1) - size_o - 1
@@ -285,7 +309,7 @@ def _cut(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *batch.columns[3:]], names)
 
 
-def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """docs to (id_col, n_bytes long, spans array<struct<start, stop>>, kept binary, kept_text string), one row per
     input row.
 
@@ -294,10 +318,10 @@ def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 8_000_000,
     input. spans are the maximal removed runs, kept the bytes left; kept_text is kept without
     the bytes of characters that were cut in two. A row with a null
     id is kept whole and matches nothing. Rows that share an id and a text are one document. id_col is a whole number.
-    span is at least 32 and at most 254. Other columns of docs do not matter; those named in carry come along.
+    span is at least 64 and at most 254. Other columns of docs do not matter; those named in carry come along.
     """
-    if not _GRAM <= span <= 254:
-        raise ValueError("span must be from 32 to 254")
+    if not 2 * _GRAM <= span <= 254:
+        raise ValueError("span must be from 64 to 254")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_q_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_q_text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
