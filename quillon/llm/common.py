@@ -145,6 +145,16 @@ def schema_of(made: str, docs: DataFrame, carry: Sequence[str]) -> T.StructType:
     return out
 
 
+def return_freed_memory() -> None:
+    """Let this worker's C library give arrays over 256 KB back to the system as soon as they are freed."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def remove_tree(path: str) -> None:
     import shutil
 

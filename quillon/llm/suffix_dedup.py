@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, schema_of, utf8_views
+from .common import materialize, return_freed_memory, schema_of, utf8_views
 from .induced import suffix_sort
 
 _GRAM = 32
@@ -98,6 +98,7 @@ _SPAN = "doc long, start long, run int, shard int"
 
 
 def _mark(batches: Iterable[pa.RecordBatch], span: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    return_freed_memory()
     names = [x.split()[0] for x in _MARK.split(", ")]
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -166,7 +167,7 @@ def _spans(doc: np.ndarray, start: np.ndarray, run: np.ndarray, shard: np.ndarra
 
 def _match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's stretches: those equal to an earlier one are repeats (shard -1), the rest of a repeated marker is asked for."""
-    for bucket, rows in _runs(_rows(batches)):
+    for _, rows in _runs(_rows(batches)):
         kinds = (np.uint64, np.uint64, np.int64, np.int32, np.uint8)
         marker, content, doc, start, run = (np.frombuffer(b"".join(c), k) for c, k in zip(zip(*rows), kinds, strict=True))
         order = np.lexsort((start, doc, content, marker))
@@ -178,11 +179,12 @@ def _match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds_of = np.bincount(np.cumsum(new_m) - 1, weights=new_c)[np.cumsum(new_m) - 1]
         ask = new_c & (kinds_of > 1)
         m = repeat | ask
-        yield _spans(doc[m], start[m], run[m], np.where(ask[m], bucket, -1))
+        # shards are dealt by marker: a bucket with a hot marker does not draw others along
+        yield _spans(doc[m], start[m], run[m], np.where(ask[m], (marker[m] >> np.uint64(33)).astype(np.int64), -1))
 
 
 def _fetch(batches: Iterable[pa.RecordBatch], span: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text, asked [start, run, bucket]) to rows (shard, doc, start, run, bytes), packed by shard."""
+    """(doc, text, asked [start, run, shard]) to rows (shard, doc, start, run, bytes), packed by shard."""
     held: dict[int, list[tuple[int, int, int, bytes]]] = {}
     size = 0
 
@@ -228,6 +230,7 @@ def _repeated(raw: np.ndarray, size: np.ndarray, run: np.ndarray, span: int) ->
 
 def _sort(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Suffix-sort each shard; windows with an earlier equal one come out as repeats."""
+    return_freed_memory()
     for _, rows in _runs(_rows(batches)):
         doc, start, run = (np.frombuffer(b"".join(c), k).astype(np.int64) for c, k in zip(list(zip(*rows))[:3], (np.int64, np.int64, np.int32), strict=True))
         raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
@@ -309,7 +312,7 @@ def _cut(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), *batch.columns[3:]], names)
 
 
-def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """docs to (id_col, n_bytes long, spans array<struct<start, stop>>, kept binary, kept_text string), one row per
     input row.
 
@@ -331,7 +334,7 @@ def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 3_000_000,
     spans = materialize(dealt.mapInArrow(_match, _SPAN), "suffix-spans")
     asked = spans.where("shard >= 0")
     total = asked.agg(F.sum(F.col("run") + span)).first()[0] or 0
-    shards = max(1, min(buckets, -(-total // shard_bytes)))
+    shards = max(1, -(-total // shard_bytes))
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "run", "shard")).alias("asked")).withColumnRenamed("doc", "_q_id")
     fetched = rows.join(wanted, "_q_id").mapInArrow(lambda b: _fetch(b, span, shards), "shard int, doc binary, start binary, run binary, raw binary")
     sorted_ = materialize(fetched.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _sort(b, span), _SPAN), "suffix-repeats")
