@@ -309,7 +309,8 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 4_000) -> DataFrame:
     flat = np.array([s for x in keys for s in slots[int(x)]], np.int64).reshape(-1, 4)
     before = Window.partitionBy("length").orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_q_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_q_base"))
-    ranked = rows.join(bases, ["length", "_q_part"], "left").withColumn("_q_rank", F.col("_q_rank") + F.col("_q_base"))
+    # a count for each length and partition: not to be broadcast by the size of its file
+    ranked = rows.join(bases.hint("merge"), ["length", "_q_part"], "left").withColumn("_q_rank", F.col("_q_rank") + F.col("_q_base"))
     names = pieces.columns
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
