@@ -24,7 +24,7 @@ LEAST_QUALITY = 0.3
 def _with_text(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     """The columns of docs from rows that carry them, with the new text and its length."""
     new = {"text": F.col(text)} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return rows.select(*((new[c] if c in new else F.col("doc_id" if c == "doc_id" else f"_in_{c}")).alias(c) for c in docs.columns))
 
 
 def _others(docs: DataFrame) -> list[str]:

@@ -138,10 +138,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def schema_of(made: str, docs: DataFrame, carry: Sequence[str]) -> T.StructType:
-    """The fields in `made` (a DDL string), then those of docs that are carried along."""
+    """The fields in `made` (a DDL string), then those of docs that are carried along, as _in_<name>: an input column may
+    have the name of an output column."""
     out = T.StructType.fromDDL(made)
     for name in carry:
-        out.add(name, docs.schema[name].dataType)
+        out.add(f"_in_{name}", docs.schema[name].dataType)
     return out
 
 

@@ -31,7 +31,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     points in at least min_docs distinct documents lose all their lines but those in the largest id that has the key.
     A null or empty text is one empty line. Rows that share an id count as one document and lose the same keys. A row
     with a null id counts as no document and keeps every line. Other columns of docs do not matter; those named in
-    carry come along.
+    carry come along as _in_<name>.
 
     A frequent line costs one partial count per task; what a document loses is bounded by its own lines.
     """

@@ -321,7 +321,7 @@ def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 2_000_000,
     input. spans are the maximal removed runs, kept the bytes left; kept_text is kept without
     the bytes of characters that were cut in two. A row with a null
     id is kept whole and matches nothing. Rows that share an id and a text are one document. id_col is a whole number.
-    span is at least 64 and at most 254. Other columns of docs do not matter; those named in carry come along.
+    span is at least 64 and at most 254. Other columns of docs do not matter; those named in carry come along as _in_<name>.
     """
     if not 2 * _GRAM <= span <= 254:
         raise ValueError("span must be from 64 to 254")
