@@ -24,6 +24,11 @@ def dict_op(df: DataFrame, a: str, b: str, op: str, out: str = "value") -> DataF
     return df.withColumn(out, made[op]())
 
 
+def co_partition(left: DataFrame, right: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt out alike by a key, so that joins and groupings on it that follow need no further shuffle."""
+    return left.repartition(n, key), right.repartition(n, key)
+
+
 def in_mask(df: DataFrame, a: Column, b: Column, out: str = "in_mask", negate: bool = False) -> DataFrame:
     """Whether a's value is among the values that b has in any row. b is boiled down to one row of two booleans."""
     seen = df.agg(F.coalesce(F.bool_or(b), F.lit(False)).alias("_any_true"), F.coalesce(F.bool_or(~b), F.lit(False)).alias("_any_false"))

@@ -97,6 +97,12 @@ def test_crosstab(spark):
         R.crosstab_wide(df.limit(0), "x", "y")
 
 
+def test_co_partition(spark):
+    x, y = R.co_partition(spark.range(20), spark.range(0, 20, 2), "id", 3)
+    plan = x.join(y.hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and x.join(y, "id").count() == 10
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(True, True), (False, True), (True, True)], "a boolean, b boolean")
     assert [r.in_mask for r in R.in_mask(df, a, b).collect()] == [True, False, True]
