@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 #: The letters, numbers and white space among U+0000 to U+024F, lower-cased, as \p{L}, \p{N} and \s see them.
 _LETTER = "a-zªµºß-öø-ÿĀ-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -25,7 +27,7 @@ _LATIN = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{
 #: Texts with other characters, or with one whose lower case is two, are cut by the library's own normaliser and splitter.
 _OTHER = re.compile("[^\x00-\u024f]|\u0130")
 #: Distinct words kept by one encoder; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Longer words are encoded each time, so that the cache is bounded in bytes too.
 CACHE_CHARS = 64
 _NONE = np.int64(1) << 60
@@ -241,7 +243,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(1).to_pylist()
             for part in text_parts(texts):
                 raw = t.encode_bytes(texts[part])
@@ -262,7 +264,7 @@ def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in lean(batches):
             ids = ([i for i in x if i is not None] if x else [] for x in batch.column(1).to_pylist())
             made = t.decode(np.array(x, np.int64) for x in ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [id_col, "decoded"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -146,14 +146,27 @@ def schema_of(made: str, docs: DataFrame, carry: Sequence[str]) -> T.StructType:
     return out
 
 
-def return_freed_memory() -> None:
-    """Let this worker's C library give arrays over 256 KB back to the system as soon as they are freed."""
+#: Rows of an Arrow batch worked on at once.
+SLICE_ROWS = 512
+
+
+def lean(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices (no copies), so that Python objects exist for few rows at a time. Workers serve many tasks:
+    freed arrays go back to the system, at the task's end all of them."""
     import ctypes
 
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        lib = ctypes.CDLL(None)
+        lib.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        trim = lib.malloc_trim
     except (OSError, AttributeError):  # another C library
-        pass
+        trim = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    if trim is not None:
+        trim(0)
 
 
 def remove_tree(path: str) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, lean, materialize
 
 #: Dimensions of a block, and of its grid.
 BLOCK_DIMS, GRID_DIMS = 8, 2
@@ -143,7 +143,7 @@ def _range_join(batches: Iterable[pa.RecordBatch], budget: float) -> Iterator[pa
 
 
 def _verified(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches, 4096):
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         if not a:
             continue

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, local_tmp, remove_tree
+from .common import ASCII_SPACE, lean, local_tmp, remove_tree
 
 #: Bytes of text and number of entries at which a memtable is flushed.
 MEMTABLE_BYTES = 24_000_000
@@ -172,10 +172,8 @@ def _level(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
     names = [x.split()[0] for x in _ENTRY.split(", ")][: 5 if with_text else 4]
     index = LsmIndex()
     try:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                index.put(*(part.column(k).to_pylist() for k in (0, 4, 1, 2, 3)))
+        for part in lean(batches):
+            index.put(*(part.column(k).to_pylist() for k in (0, 4, 1, 2, 3)))
         out, size = [], 0
         for row in index.merged():
             out.append(row)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, schema_of
+from .common import lean, materialize, schema_of
 
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -40,7 +40,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     whole = docs.select(F.col(id_col).alias("_q_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("_q_text"), *(F.col(c).alias(f"_q_{k}") for k, c in enumerate(carry)))
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             ids, keys = [], []
             for k, text in enumerate(batch.column(1)):
                 own = {line_key(x, min_chars) for x in text.as_py().split(b"\n")}
@@ -54,7 +54,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     lost = lines.join(frequent.select("_q_key", "_q_last"), "_q_key").where("_q_id <> _q_last").groupBy("_q_id").agg(F.collect_set("_q_key").alias("_q_lost"))
 
     def reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             texts, totals, dropped = [], [], []
             for text, lost in zip(batch.column(1), batch.column(2), strict=True):
                 lines = text.as_py().split(b"\n")

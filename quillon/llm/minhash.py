@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, lean, materialize
 
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -109,7 +109,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sign(batches: Iterable[pa.RecordBatch], p: Near) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         n, digests, keys = [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py() or b"", p.words)
@@ -198,7 +198,7 @@ def _verify(batches: Iterable[pa.RecordBatch], p: Near) -> Iterator[pa.RecordBat
         found = block_links(ids, sets, p.percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    for batch in batches:
+    for batch in lean(batches):
         keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
         for k, now in enumerate(keys):
             if now != key:

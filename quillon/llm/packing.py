@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_parts, tokenizer
-from .common import materialize
+from .common import lean, materialize
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, and how many such sequences
 
@@ -32,7 +32,7 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = tokenizer(path), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in lean(batches):
             texts = batch.column(1).to_pylist()
             for part in text_parts(texts):
                 row, piece, ids = [], [], []

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .labelled import sample
 
 FEATURES = [
@@ -146,7 +147,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 
 def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         made = [statistics(t or "") for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -164,7 +165,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     empty texts are scored by zero statistics; ids, null or repeated, do not matter to a score."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             x = np.array([statistics(t or "") for t in batch.column(1).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], [id_col, "score"])
 
@@ -176,7 +177,7 @@ def keep_good(docs: DataFrame, trees: Trees, least: float, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(trees.score(x) >= least))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, return_freed_memory, schema_of, utf8_views
+from .common import lean, materialize, schema_of, utf8_views
 from .induced import suffix_sort
 
 _GRAM = 32
@@ -98,7 +98,6 @@ _SPAN = "doc long, start long, run int, shard int"
 
 
 def _mark(batches: Iterable[pa.RecordBatch], span: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    return_freed_memory()
     names = [x.split()[0] for x in _MARK.split(", ")]
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -113,7 +112,7 @@ def _mark(batches: Iterable[pa.RecordBatch], span: int, buckets: int) -> Iterato
         columns = [[x[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] for x in (marker, content, doc, start.astype(np.int32), run.astype(np.uint8))]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), *(pa.array(c, pa.binary()) for c in columns)], names)
 
-    for batch in batches:
+    for batch in lean(batches):
         raw, offsets = utf8_views(batch.column(1))
         ids = batch.column(0).to_numpy()
         k = 0
@@ -157,7 +156,7 @@ def _runs(rows: Iterable[tuple]) -> Iterator[tuple[int, list[tuple]]]:
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
+    for batch in lean(batches):
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
@@ -193,7 +192,7 @@ def _fetch(batches: Iterable[pa.RecordBatch], span: int, shards: int) -> Iterato
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], ["shard", "doc", "start", "run", "raw"])
 
-    for batch in batches:
+    for batch in lean(batches):
         for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = text.as_py()
             for x in asked:
@@ -230,7 +229,6 @@ def _repeated(raw: np.ndarray, size: np.ndarray, run: np.ndarray, span: int) ->
 
 def _sort(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """Suffix-sort each shard; windows with an earlier equal one come out as repeats."""
-    return_freed_memory()
     for _, rows in _runs(_rows(batches)):
         doc, start, run = (np.frombuffer(b"".join(c), k).astype(np.int64) for c, k in zip(list(zip(*rows))[:3], (np.int64, np.int64, np.int32), strict=True))
         raw = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
@@ -289,7 +287,7 @@ def _later(pos: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         n_bytes, spans, kept, texts = [], [], [], []
         for text, found in zip(batch.column(1), batch.column(2), strict=True):
             raw = text.as_py()

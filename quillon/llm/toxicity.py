@@ -17,11 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .labelled import sample
 
 BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -132,7 +133,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, size: int = 8, chosen: int = 8_
 
 
 def _termed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean(batches):
         made = [terms(t or "") for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in made], pa.binary())], ["label", "terms"])
 
@@ -150,7 +151,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in lean(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.scores(texts, cache))], [id_col, "score"])
 
