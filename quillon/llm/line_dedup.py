@@ -51,6 +51,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     lines = materialize(rows.where(F.col("_q_id").isNotNull()).mapInArrow(explode, f"_q_id {kind}, _q_key binary"), "lines")
     frequent = lines.groupBy("_q_key").agg(F.count_distinct("_q_id").alias("n"), F.max("_q_id").alias("_q_last")).where(F.col("n") >= min_docs)
+    # a table of its own: of the join that follows Spark can then split a frequent line's rows
+    frequent = materialize(frequent, "frequent-lines")
     lost = lines.join(frequent.select("_q_key", "_q_last"), "_q_key").where("_q_id <> _q_last").groupBy("_q_id").agg(F.collect_set("_q_key").alias("_q_lost"))
 
     def reassemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
