@@ -227,6 +227,8 @@ def near_dedup(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     reps = materialize(some.groupBy("_q_set").agg(F.min("_q_id").alias("rep"), F.first("_q_bands").alias("bands"), F.max("n_shingles").alias("size")), "near-sets")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     first = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    # a table of its own: of the join that follows Spark can then split a frequent band's rows
+    first = materialize(first, "near-bands")
     stars = keyed.join(first, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     groups = connected_components(stars, "near-groups").join(reps.select(F.col("rep").alias("node"), "size"), "node")
     groups = materialize(groups.groupBy("node").agg(F.min("component").alias("component"), F.max("size").alias("size")), "near-members")
