@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
 #: Statements by which files name their licence.
 TEMPLATES: list[tuple[str, str]] = [
@@ -108,7 +108,8 @@ def license_scan(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", p
     asked = found.where(F.col("license").isNull() & F.col("_q_path").isNotNull()).select("_q_id", "_q_path", F.explode(F.sequence(F.lit(0), depth)).alias("level"), steps.alias("steps"))
     asked = asked.select("_q_id", "_q_path", "level", F.when(F.col("level") > 0, F.array_join(F.slice("steps", 1, F.greatest("level", F.lit(1))), "/")).otherwise("").alias("directory"))
     # files of one directory ask alike: each directory is looked up once
-    above = asked.select("directory").distinct().join(given, "directory")
+    # a table of its own: of the join that follows Spark can then split a large directory's files
+    above = materialize(asked.select("directory").distinct().join(given, "directory"), "license-directories")
     nearest = asked.join(above, "directory").groupBy("_q_id", "_q_path").agg(F.max(F.struct("level", "directory", "from_dir", "dir_score")).alias("up"))
     nearest = nearest.select("_q_id", "_q_path", "up.directory", "up.from_dir", "up.dir_score")
     out = found.join(nearest, ["_q_id", "_q_path"], "left")
