@@ -45,17 +45,13 @@ def _token_column(line: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(line), F.lit(_TOKEN), F.lit(0))
 
 
-def document_frequencies(files: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
-    """How many of all files have each of the templates' terms, and how many files there are. What reaches the driver
-    is a row per term of the templates."""
-    known = sorted({t for _, s in TEMPLATES for t in _tokens(s)})
+def document_frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): how many of all files have each of all their terms, as a table. The empty term stands for all files."""
     words = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9.+-]+")
     # a full stop or hyphen at a word's end is not part of it
     bare = F.transform(words, lambda w: F.trim(w, F.lit(".+-")))
-    own = F.array_intersect(bare, F.array(*map(F.lit, known)))
-    rows = files.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
-    found = {r["term"]: int(r["count"]) for r in rows}
-    return found, found.get("", 0)
+    own = F.array_union(bare, F.array(F.lit("")))
+    return materialize(files.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "license-frequencies")
 
 
 def license_scan(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -63,16 +59,18 @@ def license_scan(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", p
     per file.
 
     A line's weights are term count times ln((1 + files) / (1 + files with the term)) + 1, counted over all files and
-    whole texts; terms of no template count as found in none. A file's own licence is the template with the highest
+    whole texts. A file's own licence is the template with the highest
     cosine of any of its lines, `least` at least (how 'own'); of equal ones the first in order of name. A file
     without one takes that of the nearest directory above it in which the licence file (name LICENSE, LICENCE, COPYING or
     NOTICE, any ending) has one: of several the highest cosine, then the least path (how 'inherited', with the
     directory). Others have nulls. Null and empty texts have no lines that match; a null path has no directory. Rows
     that share an id are scored as one file and come out once each. Other columns do not matter.
     """
-    frequency, total = document_frequencies(files, text_col)
-    idf = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for _, s in TEMPLATES for t in _tokens(s)}
-    unseen = math.log(1.0 + total) + 1
+    frequencies = document_frequencies(files, text_col)
+    known = sorted({t for _, s in TEMPLATES for t in _tokens(s)})
+    frequency = {r["term"]: int(r["n"]) for r in frequencies.where(F.col("term").isin(["", *known])).collect()}
+    total = frequency.get("", 0)
+    idf = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for t in known}
     parts, heavy = [], set()
     for number, (name, statement) in enumerate(TEMPLATES):
         tokens = _tokens(statement)
@@ -88,15 +86,20 @@ def license_scan(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", p
     templates = F.broadcast(spark.createDataFrame(parts, "number int, name string, term string, part double"))
     own = files.select(F.col(id_col).alias("_q_id"), F.col(path_col).alias("_q_path"), F.coalesce(text_col, F.lit("")).alias("_q_text"))
     cue = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(heavy))) + ")(?![a-z0-9])"
-    lines = own.select("_q_id", F.posexplode(F.filter(F.split("_q_text", "\n"), lambda x: ascii_lower(x).rlike(cue))).alias("line", "content"))
-    # the place in the list of kept lines tells lines apart; rows that share an id add their lines' weights up
-    terms = lines.select("_q_id", "line", F.explode(_token_column(F.col("content"))).alias("term")).groupBy("_q_id", "line", "term").agg(F.count("*").alias("n"))
-    weights = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    weighed = terms.join(weights, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    norms = weighed.groupBy("_q_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(templates, "term").groupBy("_q_id", "line", "number", "name").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
-    near = dots.join(norms, ["_q_id", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
-    best = near.groupBy("_q_id").agg(F.max(F.struct("cosine", F.negative("number").alias("rank"), "name")).alias("best"))
+    cued = own.select("_q_id", F.explode(F.filter(F.split("_q_text", "\n"), lambda x: ascii_lower(x).rlike(cue))).alias("content"))
+    lines = materialize(cued, "license-lines")
+    # a line that many files have is scored once
+    kinds = materialize(lines.select("content").distinct().withColumn("line", F.monotonically_increasing_id()), "license-kinds")
+    terms = kinds.select("line", F.explode(_token_column(F.col("content"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("c"))
+    # a table of its own: of the join that follows Spark can then split a frequent term's lines
+    terms = materialize(terms, "license-terms")
+    weighed = terms.join(frequencies, "term").select("line", "term", (F.col("c") * (F.log((1.0 + total) / (1 + F.col("n"))) + 1)).alias("w"))
+    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(templates, "term").groupBy("line", "number", "name").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
+    near = dots.join(norms, "line").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= least)
+    near = near.groupBy("line").agg(F.max(F.struct("cosine", F.negative("number").alias("rank"), "name")).alias("best"))
+    near = materialize(near.join(kinds, "line").select("content", "best"), "license-matches")
+    best = lines.join(near, "content").groupBy("_q_id").agg(F.max("best").alias("best"))
     found = own.select("_q_id", "_q_path").join(best.select("_q_id", F.col("best.name").alias("license"), F.col("best.cosine").alias("score")), "_q_id", "left")
     steps = F.split("_q_path", "/")
     depth = F.size(steps) - 1
