@@ -3,7 +3,8 @@
 1. Every window of `span` bytes has a marker, the k-gram of least hash in it; windows in a row with one marker form a
    stretch. Equal windows have equal markers, so only stretches whose marker occurs twice can hold a repeat, and windows
    are compared only within a marker. Markers, contents' hashes and places are dealt out by marker. Of stretches that
-   are equal as a whole the earliest stays, at the map side first, and the others are repeats from end to end.
+   are equal as a whole the earliest stays, at the map side first (of each 250,000 stretches of a task), and the others
+   are repeats from end to end.
 2. What is left of a repeated marker (unequal stretches) is fetched, dealt into shards by marker, and sorted by external
    induced sorting with common-prefix values (induced.py). In a run of suffixes with `span` bytes in common all but the
    earliest window are repeats.
@@ -108,9 +109,22 @@ def _mark(batches: Iterable[pa.RecordBatch], span: int, buckets: int) -> Iterato
         bucket = (marker % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((start, doc, content, marker, bucket))
         marker, content, doc, start, run, bucket = (x[order] for x in (marker, content, doc, start, run, bucket))
+        new = np.r_[True, (marker[1:] != marker[:-1]) | (content[1:] != content[:-1])]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(marker)), 0))
+        later = (doc != doc[first]) | (start != start[first])
+        if later.any():
+            # they are repeats whatever other tasks hold; without marker and content they only pass through
+            d, s, r = _joined(doc[later], start[later], run[later])
+            own = (d % buckets).astype(np.int32)
+            order = np.argsort(own, kind="stable")
+            yield by_bucket(own[order], [None, None, d[order], s[order].astype(np.int32), r[order].astype(np.int32)])
+        yield by_bucket(bucket[new], [marker[new], content[new], doc[new], start[new].astype(np.int32), run[new].astype(np.uint8)])
+
+    def by_bucket(bucket: np.ndarray, columns: list[np.ndarray | None]) -> pa.RecordBatch:
         ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1
-        columns = [[x[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] for x in (marker, content, doc, start.astype(np.int32), run.astype(np.uint8))]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), *(pa.array(c, pa.binary()) for c in columns)], names)
+        cuts = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        packed = [[b"" if x is None else x[a:b].tobytes() for a, b in cuts] for x in columns]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), *(pa.array(c, pa.binary()) for c in packed)], names)
 
     for batch in lean(batches):
         raw, offsets = utf8_views(batch.column(1))
@@ -167,6 +181,13 @@ def _spans(doc: np.ndarray, start: np.ndarray, run: np.ndarray, shard: np.ndarra
 def _match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's stretches: those equal to an earlier one are repeats (shard -1), the rest of a repeated marker is asked for."""
     for _, rows in _runs(_rows(batches)):
+        told = [r for r in rows if not r[0]]
+        if told:
+            doc, start, run = (np.frombuffer(b"".join(c), k) for c, k in zip(list(zip(*told))[2:], (np.int64, np.int32, np.int32), strict=True))
+            yield _spans(doc, start, run, np.full(len(doc), -1))
+        rows = [r for r in rows if r[0]]
+        if not rows:
+            continue
         kinds = (np.uint64, np.uint64, np.int64, np.int32, np.uint8)
         marker, content, doc, start, run = (np.frombuffer(b"".join(c), k) for c, k in zip(zip(*rows), kinds, strict=True))
         order = np.lexsort((start, doc, content, marker))
@@ -274,6 +295,14 @@ def _sort(batches: Iterable[pa.RecordBatch], span: int) -> Iterator[pa.RecordBat
             yield _spans(d[f], s[f], np.diff(np.r_[f, len(d)]), np.full(len(f), -1))
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of stretches, those that follow one another in a document put together."""
+    order = np.lexsort((start, doc))
+    doc, start, run = doc[order], start[order].astype(np.int64), run[order].astype(np.int64)
+    f = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + run[:-1])])
+    return doc[f], start[f], np.add.reduceat(run, f)
+
+
 def _within(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
