@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean
-from .labelled import sample
+from .labelled import learnable, sample
 
 FEATURES = [
     "log_bytes", "words", "mean_word", "upper", "lower", "digits", "space", "newline", "bang", "pipe", "symbols",
@@ -78,11 +78,12 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, least: float = 5.0, ridge: float = 1.0, weight: np.ndarray | None = None) -> Trees:
     """Gradient-boosted trees on the logistic loss, level by level from histograms of binned features. Without rows, or
-    with one class alone, the trees are empty and the score is the class's share."""
+    with one class alone, the trees are empty and the score is the class's share. A row counts as `weight` rows (without it, one)."""
     n, m = x.shape
-    share = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if n else 0.5
+    weight = np.ones(n) if weight is None else weight
+    share = float(np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)) if n else 0.5
     base = float(np.log(share / (1 - share)))
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
     if n and 0 < y.sum() < n:
@@ -93,7 +94,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
         total = np.full(n, base)
         for _ in range(trees):
             p = 1 / (1 + np.exp(-total))
-            g, h = p - y, p * (1 - p)
+            g, h = weight * (p - y), weight * p * (1 - p)
             roots.append(len(feature))
             node = np.zeros(n, np.int64)  # within the level
             place = [len(feature)]
@@ -154,10 +155,15 @@ def _measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees learnt from at most `most` labelled rows of each class outside the held-out fold. The driver gets these
-    rows' statistics: 2 * most lists of len(FEATURES) numbers."""
+    rows' statistics: 2 * most lists of len(FEATURES) numbers. A row stands for as many as its class has for each one
+    taken, so the classes' shares are those of all labels at every size."""
     rows = sample(docs, labels, label_col, most, id_col, text_col).select("label", "_q_text").mapInArrow(_measured, "label int, x array<double>").collect()
     x = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
-    return grow(x, np.array([r["label"] for r in rows], np.float64))
+    count = {r["label"]: r["count"] for r in learnable(labels, label_col, id_col).groupBy("label").count().collect()}
+    y = np.array([r["label"] for r in rows], np.float64)
+    weight = np.array([max(1.0, count[r["label"]] / most) for r in rows], np.float64)
+    # one on average: ridge and least are in rows taken
+    return grow(x, y, weight=weight * (len(weight) / max(1.0, weight.sum())))
 
 
 def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
