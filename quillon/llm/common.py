@@ -146,13 +146,13 @@ def schema_of(made: str, docs: DataFrame, carry: Sequence[str]) -> T.StructType:
     return out
 
 
-#: Rows of an Arrow batch worked on at once.
-SLICE_ROWS = 512
+#: Rows, and bytes on average, of an Arrow batch worked on at once.
+SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
 
 
 def lean(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices (no copies), so that Python objects exist for few rows at a time. Workers serve many tasks:
-    freed arrays go back to the system, at the task's end all of them."""
+    """The batches in slices (no copies), so that Python objects exist for few rows and bytes at a time. Workers serve
+    many tasks: freed arrays go back to the system, at the task's end all of them."""
     import ctypes
 
     pa.set_memory_pool(pa.system_memory_pool())
@@ -163,8 +163,9 @@ def lean(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[
     except (OSError, AttributeError):  # another C library
         trim = None
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
     if trim is not None:
         trim(0)
 

@@ -14,7 +14,7 @@ from .license_query import OP9_SQL, op9_license_scan
 from .line_dedup_query import OP10_SQL, op10_line_dedup
 from .minhash_query import op8_minhash
 from .packing_query import op5_best_fit_packing
-from .suffix_dedup_query import op3_suffix_array
+from .suffix_dedup_query import OP3_SQL, op3_suffix_array
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_suffix_array": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
         "op9_license_scan": OP9_SQL,
         "op10_line_dedup": OP10_SQL,
