@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_query import op1_bpe
 from .classifier_queries import op6_toxicity, op7_quality
-from .embedding_dedup_query import op2_embedding_dedup
+from .embedding_dedup_query import OP2_SQL, op2_embedding_dedup
 from .exact_dedup_query import OP4_SQL, op4_exact_dedup
 from .license_query import OP9_SQL, op9_license_scan
 from .line_dedup_query import OP10_SQL, op10_line_dedup
@@ -34,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_embedding_dedup": OP2_SQL,
         "op3_suffix_array": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
         "op9_license_scan": OP9_SQL,
