@@ -108,7 +108,9 @@ def connected_components(links: DataFrame, name: str = "cc") -> DataFrame:
         hook = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-hook")
         while True:  # chains of hooks to their ends
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            jumped = materialize(hook.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("root")).alias("moved")), f"{name}-jump")
+            once = hook.join(up, "root", "left").select("node", F.col("root").alias("was"), F.coalesce("up", "root").alias("root"))
+            twice = once.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("was")).alias("moved"))
+            jumped = materialize(twice, f"{name}-jump")
             moved = jumped.where("moved").limit(1).count()
             discard(hook)
             hook = jumped.select("node", "root")

@@ -1,10 +1,13 @@
 """Near dedup by circulant MinHash, banding and exact verification.
 
 One permutation spreads the shingles over 2^32 places; a second, shifted by 0, 1, 2, ... places round the circle, gives
-every coordinate of the signature. Documents that share a band are candidates. Links are confirmed on the full shingle
-sets. Copies with equal sets are one node; the candidates' groups (joined by their bands) are cut into blocks of a
-bounded number of shingles, and each pair of blocks of a group is one piece of work that gives only links that join
-what was apart. So no pairs within a group are emitted, no bucket is capped, and a group of any size spreads over tasks.
+every coordinate of the signature. Documents that share a band are candidates; copies with equal sets are one node. Each
+document is verified against its bands' leaders (the smallest ids) on the full shingle sets, and what is linked is
+joined. A band is done unless documents other than its leader are still apart in it: these, and no others, are verified
+among one another. So a band's documents never pull those of another band along, no pairs within a band are emitted, no
+band is capped, and one of any size spreads over tasks: a leader's askers are dealt out, and a band that is not done is
+cut into blocks of a bounded number of shingles, each pair of blocks one piece of work that gives only links that join
+what was apart. Sets are made once for each candidate; texts do not move beyond that.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ class Near:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    #: shingles in one block of a candidate group
-    block: int = 150_000
+    #: shingles in one block of a band that is not done, and documents that ask a leader in one task
+    block: int = 100_000
+    asking: int = 1_000
 
 
 _words: dict[bytes, int] = {}
@@ -122,8 +126,9 @@ def _sign(batches: Iterable[pa.RecordBatch], p: Near) -> Iterator[pa.RecordBatch
         )
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def block_links(ids: list[int], sets: list[np.ndarray], percent: int, joined: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the documents of a block as all of its links would: exact, by prefix filter and verification.
+    joined: a number for each document, equal for those that are joined already.
 
     The rarest tokens of each set come first; two sets over the threshold share a token among their first
     size - ceil(percent * size / 100) + 1. A document asks only candidates that are not yet joined to it, a few at
@@ -141,6 +146,9 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     lone = int((often == 1).sum())  # ranks below it occur once and join nothing
     mark = np.zeros(len(often), np.int8)
     group = np.arange(len(sets))
+    if joined is not None:
+        first: dict[int, int] = {}
+        group = np.array([first.setdefault(c, k) for k, c in enumerate(joined)])
     posting: dict[int, list[int]] = {}
     out: list[tuple[int, int]] = []
     order = np.lexsort((np.array(ids), sizes))
@@ -175,40 +183,66 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
             cand = cand[100 * sizes[cand] >= percent * size]
             if len(cand):
                 mark[mine] = 1
-                ask(x, cand[-8:])
-                rest = cand[:-8]
+                rest, some = cand[::-1], 8
                 while len(rest):
                     own = find(x)
                     rest = rest[[find(y) != own for y in rest.tolist()]]
                     if not len(rest):
                         break
-                    ask(x, rest[:512])
-                    rest = rest[512:]
+                    ask(x, rest[:some])
+                    rest, some = rest[some:], 512
                 mark[mine] = 0
         for t in prefix:
             posting.setdefault(t, []).append(x)
     return out
 
 
+def _shingled(batches: Iterable[pa.RecordBatch], p: Near) -> Iterator[pa.RecordBatch]:
+    for batch in lean(batches):
+        sets = [shingles(t.as_py() or b"", p.words).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _asked(batches: Iterable[pa.RecordBatch], p: Near) -> Iterator[pa.RecordBatch]:
+    """Rows (leader, salt, role, node, set) sorted by the first three: the leader's own comes before its askers'."""
+    key, own = None, np.zeros(0, np.uint64)
+    for batch in lean(batches):
+        a, b = [], []
+        for lead, salt, role, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = np.frombuffer(raw, np.uint64)
+            if role == 0:
+                key, own = (lead, salt), s
+            elif (lead, salt) == key and len(s) and len(own):
+                at = np.searchsorted(own, s)
+                inter = int((own[np.minimum(at, len(own) - 1)] == s).sum())
+                if 100 * inter >= p.percent * (len(own) + len(s) - inter):
+                    a.append(node)
+                    b.append(lead)
+        if a:
+            yield _pairs(a, b)
+
+
 def _verify(batches: Iterable[pa.RecordBatch], p: Near) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group and block pair; each run of equal ones is one block."""
-    key, ids, sets = None, [], []
+    """Rows (band, i, j, component, node, set) sorted by band and block pair; each run of equal ones is one block."""
+    key, ids, sets, joined = None, [], [], []
 
     def links() -> pa.RecordBatch:
-        found = block_links(ids, sets, p.percent)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        found = block_links(ids, sets, p.percent, joined)
+        return _pairs([a for a, _ in found], [b for _, b in found])
 
     for batch in lean(batches):
-        keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-        for k, now in enumerate(keys):
+        for *now, component, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now != key:
                 if len(ids) > 1:
                     yield links()
-                key, ids, sets = now, [], []
-            s = shingles(batch.column(4)[k].as_py() or b"", p.words)
-            if len(s):
-                ids.append(batch.column(3)[k].as_py())
-                sets.append(s)
+                key, ids, sets, joined = now, [], [], []
+            ids.append(node)
+            sets.append(np.frombuffer(raw, np.uint64))
+            joined.append(component)
     if len(ids) > 1:
         yield links()
 
@@ -225,28 +259,50 @@ def near_dedup(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     signed = materialize(rows.mapInArrow(lambda b: _sign(b, near), "_q_id long, n_shingles long, _q_set binary, _q_bands array<long>"), "near-signed")
     some = signed.where("_q_set is not null and _q_id is not null")
     reps = materialize(some.groupBy("_q_set").agg(F.min("_q_id").alias("rep"), F.first("_q_bands").alias("bands"), F.max("n_shingles").alias("size")), "near-sets")
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    keyed = reps.select("rep", "size", F.explode("bands").alias("key"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     # a table of its own: of the join that follows Spark can then split a frequent band's rows
     first = materialize(first, "near-bands")
-    stars = keyed.join(first, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    groups = connected_components(stars, "near-groups").join(reps.select(F.col("rep").alias("node"), "size"), "node")
-    groups = materialize(groups.groupBy("node").agg(F.min("component").alias("component"), F.max("size").alias("size")), "near-members")
-    parts = groups.groupBy("component").agg(F.ceil(F.sum("size") / near.block).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = groups.join(parts, "component").select(F.col("node").alias("_q_id"), "component", "parts", mine.alias("mine"))
+    entries = keyed.join(first, "key").where("rep <> lead.rep").select("key", "rep", "size", F.col("lead.rep").alias("lead"), F.col("lead.size").alias("lead_size"))
+    entries = materialize(entries, "near-entries")
+    candidates = entries.select(F.col("rep").alias("_q_id")).union(entries.select("lead")).distinct()
+    sets = materialize(rows.join(candidates.hint("merge"), "_q_id").mapInArrow(lambda b: _shingled(b, near), "node long, set binary"), "near-shingles")
+
+    # each document against its bands' leaders, where the sizes allow a link
+    asks = entries.where(100 * F.least("size", "lead_size") >= near.percent * F.greatest("size", "lead_size")).select("lead", "rep").distinct()
+    salts = asks.groupBy("lead").agg(F.ceil(F.count("*") / near.asking).cast("int").alias("salts"))
+    salts = materialize(salts, "near-salts")
+    member = asks.join(salts, "lead").select("lead", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("rep").alias("node"))
+    leader = salts.select("lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("lead").alias("node"))
+    dealt = member.union(leader).join(sets.hint("merge"), "node").select("lead", "salt", "role", "node", "set")
+    dealt = dealt.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "role")
+    links = materialize(dealt.mapInArrow(lambda b: _asked(b, near), "a long, b long"), "near-links")
+    joined = materialize(connected_components(links, "near-first"), "near-joined")
+
+    # bands in which documents other than the leader are still apart; bands of the same documents are one
+    of = entries.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    marks = [F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 31))), F.bit_xor(F.xxhash64("rep", F.lit(1))), F.bit_xor(F.xxhash64("rep", F.lit(2)))]
+    open_ = of.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.sum("size") / near.block).cast("int").alias("parts"), *(m.alias(f"m{k}") for k, m in enumerate(marks)))
+    open_ = open_.where("least <> most").groupBy("m0", "m1", "m2").agg(F.min(F.struct("key", "parts")).alias("k")).select("k.key", "k.parts")
+    open_ = materialize(open_, "near-open")
+    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    members = of.join(open_, "key").select("key", F.col("rep").alias("node"), "component", "parts", mine.alias("mine"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("mine")))
     dealt = (
-        rows.join(members.hint("merge"), "_q_id")
-        .select("_q_id", "_q_text", "component", "mine", F.explode(others).alias("other"))
-        .select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "_q_id", "_q_text")
-        .repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j", "_q_id")
+        members.select("key", "node", "component", "mine", F.explode(others).alias("other"))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "component", "node")
+        .join(sets.hint("merge"), "node")
+        .select("key", "i", "j", "component", "node", "set")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "node")
     )
-    links = materialize(dealt.mapInArrow(lambda b: _verify(b, near), "a long, b long"), "near-links")
-    joined = connected_components(links, "near-joined").select(F.col("node").alias("rep"), "component")
+    late = materialize(dealt.mapInArrow(lambda b: _verify(b, near), "a long, b long"), "near-late")
+    if late.limit(1).count():
+        joined = connected_components(late.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "near-last")
+    joined = joined.select(F.col("node").alias("rep"), "component")
+    for done in (first, entries, sets, salts, links, open_, late):
+        discard(done)
     to = reps.select("_q_set", "rep").join(joined, "rep", "left").select("_q_set", F.coalesce("component", "rep").alias("component"))
-    discard(groups)
     out = signed.select("_q_id", "n_shingles", F.when(F.col("_q_id").isNotNull(), F.col("_q_set")).alias("_q_set")).join(to, "_q_set", "left")
     component = F.coalesce("component", "_q_id")
     return out.select(F.col("_q_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_q_id").eqNullSafe(component).alias("kept"))

@@ -12,7 +12,7 @@ from .embedding_dedup_query import OP2_SQL, op2_embedding_dedup
 from .exact_dedup_query import OP4_SQL, op4_exact_dedup
 from .license_query import OP9_SQL, op9_license_scan
 from .line_dedup_query import OP10_SQL, op10_line_dedup
-from .minhash_query import op8_minhash
+from .minhash_query import OP8_SQL, op8_minhash
 from .packing_query import op5_best_fit_packing
 from .suffix_dedup_query import OP3_SQL, op3_suffix_array
 
@@ -37,6 +37,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_embedding_dedup": OP2_SQL,
         "op3_suffix_array": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
+        "op8_minhash": OP8_SQL,
         "op9_license_scan": OP9_SQL,
         "op10_line_dedup": OP10_SQL,
     }
