@@ -44,22 +44,22 @@ class Kept:
         return len(self.a)
 
     def _touch(self, k: object) -> None:
-        if self.path:
-            size = self.a.itemsize
-            self.touched += (k.stop - k.start) * size if isinstance(k, slice) else min(len(k) * 4096, self.a.nbytes)
-            if self.touched > self.memory:
-                self.pages.madvise(mmap.MADV_DONTNEED)
-                self.touched = 0
+        size = self.a.itemsize
+        self.touched += (k.stop - k.start) * size if isinstance(k, slice) else min(len(k) * 4096, self.a.nbytes)
+        if self.touched > self.memory:
+            self.pages.madvise(mmap.MADV_DONTNEED)
+            self.touched = 0
 
     def __getitem__(self, k: slice | np.ndarray) -> np.ndarray:
-        """A copy of a slice with both ends given, or of places."""
-        out = np.array(self.a[k])
-        self._touch(k)
-        return out
+        """A slice with both ends given, to be read before it is written, or places."""
+        if self.path:
+            self._touch(k)
+        return self.a[k]
 
     def __setitem__(self, k: slice | np.ndarray, v: np.ndarray | int) -> None:
         self.a[k] = v
-        self._touch(k)
+        if self.path:
+            self._touch(k)
 
 
 class Store:

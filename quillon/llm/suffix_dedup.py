@@ -297,17 +297,19 @@ def _often(store: Store, raw: Kept) -> tuple[np.ndarray, np.uint64]:
 
 
 def _candidates(raw: np.ndarray, size: np.ndarray, run: np.ndarray, span: int, table: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretch, first window, windows) of the parts of stretches whose windows can repeat: a window whose first or last
-    32 bytes, or the first 32 of its second half, occur once in the shard is the only one of its kind."""
-    often = np.zeros(len(raw), bool)
-    often[: len(raw) - _GRAM + 1] = table[(_gram_hashes(raw) >> shift).astype(np.int64)] > 1
+    """(stretch, first window, windows) of the part of each stretch, from the first to the last, whose windows can
+    repeat: a window with 32 bytes in a row that occur once in the shard is the only one of its kind."""
+    once = np.zeros(len(raw) + 1, np.int64)
+    n = len(raw) - _GRAM + 1
+    np.cumsum(table[(_gram_hashes(raw) >> shift).astype(np.int64)] < 2, out=once[1 : n + 1])
+    once[n + 1 :] = once[n]
     window = np.repeat(np.cumsum(size) - size, run) + _within(run)
-    good = often[window] & often[window + span // 2] & often[window + span - _GRAM]
-    owner = np.repeat(np.arange(len(run)), run)
-    edge = np.r_[True, owner[1:] != owner[:-1]]
-    first = np.flatnonzero(good & (edge | ~np.r_[False, good[:-1]]))
-    last = np.flatnonzero(good & (np.r_[edge[1:], True] | ~np.r_[good[1:], False]))
-    return owner[first], _within(run)[first], last - first + 1
+    good = np.flatnonzero(once[window + span - _GRAM + 1] == once[window])
+    owner = np.repeat(np.arange(len(run)), run)[good]
+    f = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+    at, end = good[f], good[np.r_[f[1:], len(good)] - 1] if len(f) else good
+    first = _within(run)[at]
+    return owner[f], first, end - at + 1
 
 
 def _sort(batches: Iterable[pa.RecordBatch], span: int, memory: int = MEMORY_BYTES) -> Iterator[pa.RecordBatch]:
