@@ -152,11 +152,20 @@ def int_floordiv(a: Column, b: Column, kind: str = "bigint", on_zero: str = "nul
     return _by_zero(b, on_zero, whole)
 
 
-def int_power(a: Column, b: Column, kind: str = "bigint") -> Column:
-    """Wrapping power by squaring over the exponent's 32 bits; negative exponents and those over 32 bits count as 0."""
+def int_power(a: Column, b: Column | int, kind: str = "bigint") -> Column:
+    """Wrapping power; negative exponents and those over 32 bits count as 0.
+
+    Up to 2^52 a power of doubles is exact and runs in generated code; only rows beyond it square over the exponent's
+    bits. An exponent up to 3 given as a number is multiplied out."""
     _, _, held = _kind(kind)
     times = _wrapping("multiply", kind)
     one = F.lit(1).cast(held)
+    if isinstance(b, int):
+        if 0 <= b <= 3:
+            base = a.cast(held)
+            made = {0: lambda: F.when(a.isNotNull(), one), 1: lambda: base, 2: lambda: times(base, base), 3: lambda: times(times(base, base), base)}
+            return made[b]().cast(held)
+        b = F.lit(b).cast("bigint")
     e = F.when((b >= 0) & (b <= _LOW), b).otherwise(F.when(b.isNotNull(), F.lit(0))).cast("bigint")
 
     def step(s: Column, k: Column) -> Column:
@@ -166,10 +175,15 @@ def int_power(a: Column, b: Column, kind: str = "bigint") -> Column:
     start = F.struct(one.alias("acc"), a.cast(held).alias("base"))
     # only as many rounds as the exponent has bits
     rounds = F.when(e > 0, F.sequence(F.lit(0), F.floor(F.log2(e.cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.when(a.isNotNull() & e.isNotNull(), F.aggregate(rounds, start, step)["acc"])
+    wide = F.aggregate(rounds, start, step)["acc"]
+    size = F.abs(a.cast("double"))
+    small = e.cast("double") * F.log2(F.greatest(size, F.lit(1.0))) < 52
+    exact = F.pow(a.cast("double"), e.cast("double")).cast("bigint")
+    exact = exact.cast(held) if kind in ("bigint", "ubigint") else _narrow(exact, *_kind(kind))
+    return F.when(small, exact).when(a.isNotNull() & e.isNotNull(), wide)
 
 
-def apply_int(a: Column, b: Column, op: str, kind: str = "bigint", mask: Column | None = None, on_zero: str = "null") -> Column:
+def apply_int(a: Column, b: Column | int, op: str, kind: str = "bigint", mask: Column | None = None, on_zero: str = "null") -> Column:
     """Any operator by name; rows where mask is not true are null."""
     made = {
         "add": lambda: int_add(a, b, kind), "subtract": lambda: int_subtract(a, b, kind), "multiply": lambda: int_multiply(a, b, kind),
@@ -212,9 +226,17 @@ def float_floordiv(a: Column, b: Column, kind: str = "double") -> Column:
     return F.when(F.isnan(q) | (F.abs(q) >= 2.0**53) | (q == 0), q).otherwise(F.floor(q).cast("double")).cast(kind)
 
 
-def fma(a: Column, b: Column, acc: Column, mask: Column | None = None) -> Column:
-    """a * b + acc, rounded twice."""
-    return masked(a * b + acc, mask)
+def fma(a: Column, b: Column, acc: Column, mask: Column | None = None, fused: bool = True) -> Column:
+    """a * b + acc, rounded once; not fused: rounded after each step, in generated code."""
+    if not fused:
+        return masked(a * b + acc, mask)
+    parts = [x.cast("double") for x in (a, b, acc)]
+    known = F.lit(True)
+    for x in parts:
+        known &= x.isNotNull()
+    # the class library's own, which the processor does in one instruction
+    made = F.when(known, F.java_method(F.lit("java.lang.Math"), F.lit("fma"), *(F.coalesce(x, F.lit(0.0)) for x in parts)).cast("double"))
+    return masked(made, mask)
 
 
 def apply_float(a: Column, b: Column, op: str, kind: str = "double", mask: Column | None = None) -> Column:
@@ -240,6 +262,6 @@ def from_ticks(t: Column) -> Column:
     return F.timestamp_millis(t)
 
 
-def apply_datetime(a: Column, b: Column, op: str, kind: str = "bigint") -> Column:
+def apply_datetime(a: Column, b: Column | int, op: str, kind: str = "bigint") -> Column:
     """Integer arithmetic on raw ticks, power included; null where either is null."""
     return apply_int(a, b, op, kind)

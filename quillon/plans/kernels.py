@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions
@@ -99,7 +100,14 @@ _add("float_div_ieee", "lineitem", _LINE, {"q": N.float_divide(_p, _d), "z": N.f
 _add("float_mod_ieee", "lineitem", _LINE, {"r": N.float_remainder(_p, c("l_linenumber") - 4.0)}, {"r": "CASE WHEN l_linenumber = 4 THEN 'nan'::DOUBLE ELSE l_extendedprice % (l_linenumber - 4.0::DOUBLE) END"})
 _add("float_floordiv", "lineitem", _LINE, {"q": N.float_floordiv(_p, c("l_linenumber") - 4.0)}, {"q": "CASE WHEN l_linenumber = 4 THEN 'inf'::DOUBLE ELSE floor(l_extendedprice / (l_linenumber - 4.0::DOUBLE)) END"})
 _add("float_pow_explog", "customer", ("c_custkey",), {"p": F.round(N.float_power(c("c_acctbal"), F.lit(0.5)), 6)}, {"p": "CASE WHEN c_acctbal > 0 THEN round(exp(0.5::DOUBLE * ln(c_acctbal)), 6) WHEN c_acctbal = 0 THEN 0 ELSE 'nan'::DOUBLE END"})
-_add("fma", "lineitem", _LINE, {"v": N.fma(_p, -_d, _p), "masked": N.fma(_p, _t, _d, c("l_linestatus") == "O")}, {"v": "l_extendedprice * (-l_discount) + l_extendedprice", "masked": "CASE WHEN l_linestatus = 'O' THEN l_extendedprice * l_tax + l_discount END"})
+# whole numbers whose product has over 53 bits, taken away from a power of two: only one rounding gives the exact rest
+_fa, _fb, _fc = F.lit(2.0**30) + c("l_orderkey"), F.lit(2.0**30) - c("l_partkey") * 3, F.lit(-(2.0**60)) + c("l_linenumber") * 1024.0
+_sfma = "(CAST(1073741824 AS HUGEINT) + l_orderkey) * (1073741824 - CAST(l_partkey AS HUGEINT) * 3) - 1152921504606846976 + l_linenumber * 1024"
+_add(
+    "fma", "lineitem", _LINE,
+    {"v": N.fma(_p, -_d, _p, fused=False), "exact": N.fma(_fa, _fb, _fc), "masked": N.fma(_fa, _fb, _fc, c("l_linestatus") == "O")},
+    {"v": "l_extendedprice * (-l_discount) + l_extendedprice", "exact": f"CAST({_sfma} AS DOUBLE)", "masked": f"CASE WHEN l_linestatus = 'O' THEN CAST({_sfma} AS DOUBLE) END"},
+)
 
 # ------------------------------------------------------------------ ticks
 
@@ -107,7 +115,7 @@ _ms = N.ticks(c("ts"))
 _u = c("user_id")
 _add(
     "datetime_ops", "events", ("event_id",),
-    {"a": N.apply_datetime(_ms, _u, "add"), "s": N.apply_datetime(_ms, _u, "subtract"), "d": N.apply_datetime(_ms, _u + 1, "divide"), "r": N.apply_datetime(_ms, _u + 1, "remainder"), "m": N.apply_datetime(_ms, _u, "multiply"), "p": N.apply_datetime(_u, F.lit(3).cast("bigint"), "power"), "back": N.from_ticks(N.apply_datetime(_ms, F.lit(86400000).cast("bigint"), "add")).cast("string")},
+    {"a": N.apply_datetime(_ms, _u, "add"), "s": N.apply_datetime(_ms, _u, "subtract"), "d": N.apply_datetime(_ms, _u + 1, "divide"), "r": N.apply_datetime(_ms, _u + 1, "remainder"), "m": N.apply_datetime(_ms, _u, "multiply"), "p": N.apply_datetime(_u, 3, "power"), "back": N.from_ticks(N.apply_datetime(_ms, F.lit(86400000).cast("bigint"), "add")).cast("string")},
     {"a": "(epoch_us(ts) // 1000) + user_id", "s": "(epoch_us(ts) // 1000) - user_id", "d": "(epoch_us(ts) // 1000) // (user_id + 1)", "r": "(epoch_us(ts) // 1000) % (user_id + 1)", "m": "(epoch_us(ts) // 1000) * user_id", "p": "user_id * user_id * user_id", "back": "strftime(make_timestamp(((epoch_us(ts) // 1000) + 86400000) * 1000), '%Y-%m-%d %H:%M:%S') || CASE WHEN (epoch_us(ts) // 1000) % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST((epoch_us(ts) // 1000) % 1000 AS VARCHAR), 3, '0'), '0') END"},
 )
 
@@ -175,7 +183,7 @@ SQL["str_div_explode"] = "SELECT p_partkey, generate_subscripts(string_split(p_n
 QUERIES["str_dict_ops"] = lambda spark, sf: R.dict_op(R.dict_op(R.dict_op(table(spark, sf, "part"), "p_brand", "p_type", "add", "a"), "p_brand", "p_type", "multiply", "m"), "p_brand", "p_brand", "subtract", "s").select("p_partkey", "a", "m", "s")
 SQL["str_dict_ops"] = "SELECT p_partkey, p_brand || p_type AS a, p_brand AS m, '' AS s FROM part"
 _q = c("l_quantity")
-_add("strfloat_ops", "lineitem", _LINE, {"a": S.str_float(c("l_returnflag"), _q, "add"), "s": S.str_float(F.concat(F.lit("x17y"), c("l_returnflag")), _q, "subtract"), "m": S.str_float(c("l_returnflag"), _q, "multiply"), "d": S.str_float(F.lit("1-17-170"), _q, "divide")}, {"a": "l_returnflag || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)", "s": "CASE WHEN instr('x17y', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) = 0 THEN 'x17y' ELSE left('x17y', instr('x17y', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) - 1) || substr('x17y', instr('x17y', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) + length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))) END || l_returnflag", "m": "repeat(l_returnflag, CAST(l_quantity AS INTEGER))", "d": "replace('1-17-170', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '|')"})
+_add("strfloat_ops", "lineitem", _LINE, {"a": S.str_float(c("l_returnflag"), _q, "add"), "s": S.str_float(F.concat(F.lit("x17y"), c("l_returnflag")), _q, "subtract"), "m": S.str_float(c("l_returnflag"), _q, "multiply"), "d": S.str_float(F.lit("1-17-170"), _q, "divide"), "wide": S.str_float(c("l_returnflag"), _p * 1e17, "add"), "cut": S.str_float(F.lit("a0.5b"), _q / 2, "subtract")}, {"wide": "l_returnflag || replace(CAST(l_extendedprice * 1e17 AS VARCHAR), 'e+', 'e')", "cut": "CASE WHEN l_quantity = 1 THEN 'ab' ELSE replace('a0.5b', regexp_replace(CAST(l_quantity / 2 AS VARCHAR), '\\.0$', ''), '') END", "a": "l_returnflag || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)", "s": "CASE WHEN instr('x17y', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) = 0 THEN 'x17y' ELSE left('x17y', instr('x17y', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) - 1) || substr('x17y', instr('x17y', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)) + length(CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))) END || l_returnflag", "m": "repeat(l_returnflag, CAST(l_quantity AS INTEGER))", "d": "replace('1-17-170', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), '|')"})
 
 # ------------------------------------------------------------------ contingency tables
 
@@ -188,12 +196,88 @@ SQL["crosstab_labels"] = "SELECT event_type, row_number() OVER (ORDER BY min(eve
 
 # ------------------------------------------------------------------ conversions
 
-_when = F.element_at(F.array(*(F.lit(x) for x in ("2024-01-01T01:02:03Z", "2024-01-01T01:02:03.500+02:00", "2024-01-01 01:02:03", "2024-01-01", "2024", "zz", ""))), (c("event_id") % 7 + 1).cast("int"))
-_add("parse_datetime", "events", ("event_id",), {"ms": X.parse_datetime(_when)}, {"ms": "CAST([1704070923000, 1704063723500, 1704070923000, 1704067200000, 2024, NULL, NULL][event_id % 7 + 1] AS BIGINT)"})
+#: Texts and their milliseconds; a time without an offset is UTC.
+_TIMES = [
+    ("2024-01-01T01:02:03Z", 1704070923000), ("2024-01-01T01:02:03.500+02:00", 1704063723500), ("2024-01-01 01:02:03", 1704070923000), ("2024-01-01", 1704067200000), ("2024", 2024), ("zz", None), ("", None),
+    ("2024-01-01T01:02+02", 1704063720000), ("2024-01-01T01Z", 1704070800000), ("20240101T010203Z", 1704070923000), ("20240101T0102,5+0130", 1704065550000), ("2024-060T00:00:00Z", 1709164800000), ("2024-W01-3T12Z", 1704283200000),
+    ("2024-02-30T00:00:00Z", None), ("2024-01-01T24:00:00Z", None), ("2024-01-01T01:02:03", None), ("2024\n", None), ("-7", -7), ("1969-12-31T23:59:59.999Z", -1), ("2023-366T00Z", None),
+]
+_when = F.element_at(F.array(*(F.lit(x) for x, _ in _TIMES)), (c("event_id") % len(_TIMES) + 1).cast("int"))
+_add("parse_datetime", "events", ("event_id",), {"ms": X.parse_datetime(_when)}, {"ms": f"CAST([{', '.join('NULL' if x is None else str(x) for _, x in _TIMES)}][event_id % {len(_TIMES)} + 1] AS BIGINT)"})
 _add("int_to_text", "orders", ("o_orderkey",), {"s": X.int_to_text(-c("o_custkey"))}, {"s": "CAST(-o_custkey AS VARCHAR)"})
-_add("float_to_text", "lineitem", _LINE, {"q": X.float_to_text(_q), "p": X.float_to_text(_p), "f": X.format_finite(_d)}, {"q": "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)", "p": "regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '')", "f": "regexp_replace(CAST(l_discount AS VARCHAR), '\\.0$', '')"})
-QUERIES["cardinality"] = lambda spark, sf: table(spark, sf, "part").agg(built(X.cardinality_ratio(c("p_brand")) < 0.75).alias("low"))
-SQL["cardinality"] = "SELECT count(DISTINCT p_brand) / count(p_brand) < 0.75 AS low FROM part"
+
+
+def _positional_sql(x: str) -> str:
+    """A double's shortest text without an exponent."""
+    s = f"CAST({x} AS VARCHAR)"
+    digits, e = f"replace(split_part({s}, 'e', 1), '.', '')", f"CAST(split_part({s}, 'e', 2) AS INTEGER)"
+    return rf"CASE WHEN contains({s}, 'e-') THEN '0.' || repeat('0', -{e} - 1) || {digits} WHEN contains({s}, 'e') THEN rpad({digits}, CAST(greatest({e} + 1, length({digits})) AS INTEGER), '0') ELSE regexp_replace({s}, '\.0$', '') END"
+
+
+_far, _tiny = _p * 1e17, _p * 1e-17
+_add(
+    "float_to_text", "lineitem", _LINE,
+    {"q": X.float_to_text(_q), "p": X.float_to_text(_p), "f": X.format_finite(_d), "far": X.float_to_text(_far), "tiny": X.float_to_text(_tiny), "far_e": X.format_finite(_far), "tiny_e": X.format_finite(_tiny), "third": X.float_to_text(_p / 3)},
+    {"q": "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)", "p": r"regexp_replace(CAST(l_extendedprice AS VARCHAR), '\.0$', '')", "f": r"regexp_replace(CAST(l_discount AS VARCHAR), '\.0$', '')",
+     "far": _positional_sql("(l_extendedprice * 1e17)"), "tiny": _positional_sql("(l_extendedprice * 1e-17)"), "far_e": "replace(CAST(l_extendedprice * 1e17 AS VARCHAR), 'e+', 'e')", "tiny_e": "regexp_replace(CAST(l_extendedprice * 1e-17 AS VARCHAR), 'e-0?', 'e-')", "third": r"regexp_replace(CAST(l_extendedprice / 3 AS VARCHAR), '\.0$', '')"},
+)
+QUERIES["cardinality"] = lambda spark, sf: table(spark, sf, "part").agg(built(X.cardinality_ratio(c("p_brand")) < 0.75).alias("low"), built(X.cardinality_ratio(F.when(c("p_size") < 0, c("p_brand")))).alias("none"))
+SQL["cardinality"] = "SELECT count(DISTINCT p_brand) / count(p_brand) < 0.75 AS low, 0.0::DOUBLE AS none FROM part"
+
+
+def _cardinality_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", (functions.col("event_id") % 97).cast("string").alias("few"), (functions.col("event_id") - functions.lit(1)).alias("at"), functions.col("event_id").cast("string").alias("own"))
+    lowest = rows.agg(functions.min("at").alias("low"))
+    rows = rows.crossJoin(functions.broadcast(lowest)).withColumn("at", functions.col("at") - functions.col("low"))
+    made = [R.sampled_cardinality(rows, name, "at").select(functions.lit(name).alias("name"), "ratio") for name in ("event_type", "few", "own")]
+    made.append(R.sampled_cardinality(rows.where("at < 0"), "own", "at").select(functions.lit("empty").alias("name"), "ratio"))
+    return functools.reduce(DataFrame.union, made)
+
+
+QUERIES["cardinality_sample"] = _cardinality_sample
+SQL["cardinality_sample"] = """
+WITH r AS (SELECT event_type, CAST(event_id % 97 AS VARCHAR) AS few, CAST(event_id AS VARCHAR) AS own, event_id - min(event_id) OVER () AS place, greatest(count(*) OVER () // 256, 1) AS step, least(count(*) OVER (), 256) AS size FROM events),
+s AS (SELECT * FROM r WHERE place % step = 0)
+SELECT 'event_type' AS name, least(count(DISTINCT event_type), 256) / CAST(max(size) AS DOUBLE) AS ratio FROM s
+UNION ALL SELECT 'few', least(count(DISTINCT few), 256) / CAST(max(size) AS DOUBLE) FROM s
+UNION ALL SELECT 'own', least(count(DISTINCT own), 256) / CAST(max(size) AS DOUBLE) FROM s
+UNION ALL SELECT 'empty', 0.0"""
+
+
+def _co_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines dealt out alike: the join and the grouping that follow need no other shuffle."""
+    left, right = R.co_partition(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return left.join(right.hint("merge"), "o_orderkey").groupBy("o_orderkey").agg(functions.count("*").alias("n"), functions.max("l_linenumber").alias("last"))
+
+
+QUERIES["co_partition"] = _co_partitioned
+SQL["co_partition"] = "SELECT o_orderkey, count(*) AS n, max(l_linenumber) AS last FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"
+
+
+def _text_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which operators arithmetic on text defines: the others are an error when the expression is built."""
+    a, x = functions.col("p_brand"), functions.col("p_size")
+
+    def defined(make: Callable[[], object]) -> bool:
+        try:
+            make()
+        except ValueError:
+            return False
+        return True
+
+    rows = [(op, defined(lambda op=op: textmath.str_str(a, a, op)), defined(lambda op=op: textmath.str_float(a, x, op))) for op in numeric.OPERATORS]
+    return spark.createDataFrame(rows, "op string, text boolean, float boolean")
+
+
+QUERIES["text_operators"] = _text_operators
+SQL["text_operators"] = "SELECT op, op IN ('add', 'subtract', 'multiply', 'divide') AS text, op IN ('add', 'subtract', 'multiply', 'divide') AS float FROM (VALUES ('add'), ('subtract'), ('multiply'), ('divide'), ('remainder'), ('power'), ('floordiv')) t(op)"
+QUERIES["cross_tabulate"] = lambda spark, sf: R.cross_tabulate(table(spark, sf, "events").withColumn("odd", functions.col("user_id") % 5), "event_type", "odd", "event_id")
+SQL["cross_tabulate"] = """
+WITH e AS (SELECT event_type, user_id % 5 AS odd, event_id FROM events),
+x AS (SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS x_place FROM e GROUP BY event_type),
+y AS (SELECT odd, row_number() OVER (ORDER BY min(event_id)) - 1 AS y_place FROM e GROUP BY odd)
+SELECT event_type, odd, count(*) AS n, CAST(any_value(x_place) AS INTEGER) AS x_place, CAST(any_value(y_place) AS INTEGER) AS y_place, CAST(sum(count(*)) OVER () AS BIGINT) AS total
+FROM e JOIN x USING (event_type) JOIN y USING (odd) GROUP BY event_type, odd"""
 
 
 def queries() -> dict[str, Query]:
