@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .license_scan import TEMPLATES, license_scan
+from .license_scan import BLANK_LINES, TEMPLATES, license_scan
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = ", ".join(f"({k}, '{n}', '{s}')" for k, (n, s) in enumerate(TEMPLATES))
+    values = ", ".join("({}, '{}', '{}')".format(k, n, s.replace("'", "''")) for k, (n, s) in enumerate(TEMPLATES))
     return rf"""
 WITH t(number, name, statement) AS (VALUES {values}),
 d AS (SELECT doc_id, coalesce(text, '') AS text,
@@ -29,15 +29,16 @@ d AS (SELECT doc_id, coalesce(text, '') AS text,
 tt AS (SELECT number, name, term, count(*) AS n
        FROM (SELECT number, name, unnest(regexp_extract_all(translate(statement, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]')) AS term FROM t) GROUP BY ALL),
 words AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9.+-]+'), lambda w: trim(w, '.+-')))) AS term FROM d),
-df AS (SELECT term, count(*) AS n FROM words WHERE term IN (SELECT term FROM tt) GROUP BY term),
+df AS MATERIALIZED (SELECT term, count(*) AS n FROM words GROUP BY term),
 total AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT DISTINCT tt.term, ln((1.0 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM tt LEFT JOIN df USING (term), total),
 tw AS (SELECT number, name, term, tt.n * idf AS w FROM tt JOIN idf USING (term)),
 part AS (SELECT number, name, term, w / sqrt(sum(w * w) OVER (PARTITION BY number)) AS part FROM tw),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
+units AS (SELECT doc_id, list_concat(string_split(text, chr(10)), list_filter(regexp_split_to_array(text, '{BLANK_LINES}'), lambda b: contains(b, chr(10))), CASE WHEN file LIKE 'LICENSE%' THEN [text] ELSE [] END) AS units FROM d),
+l AS (SELECT doc_id, unnest(units) AS content, generate_subscripts(units, 1) AS line FROM units),
 lt AS (SELECT doc_id, line, term, count(*) AS n
        FROM (SELECT doc_id, line, unnest(regexp_extract_all(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]')) AS term FROM l) GROUP BY ALL),
-lw AS (SELECT doc_id, line, term, lt.n * coalesce(idf, ln(1.0 + total.n) + 1) AS w FROM lt LEFT JOIN idf USING (term), total),
+lw AS (SELECT doc_id, line, term, lt.n * (ln((1.0 + total.n) / (1 + coalesce(df.n, 0))) + 1) AS w FROM lt LEFT JOIN df USING (term), total),
 norm AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL),
 dot AS (SELECT doc_id, line, number, name, sum(w * part) AS dot FROM lw JOIN part USING (term) GROUP BY ALL),
 near AS (SELECT doc_id, number, name, round(dot / norm, 6) AS cosine FROM dot JOIN norm USING (doc_id, line) WHERE round(dot / norm, 6) >= 0.8),
