@@ -98,68 +98,58 @@ def _dominated(b: tuple[int, ...], a: tuple[int, ...]) -> bool:
     return True
 
 
-def _fullest(c: np.ndarray, room: int) -> tuple[int, ...]:
-    """Lengths whose sum comes as near to room as any can, by bit sets of reachable sums, larger lengths preferred."""
-    mask = (1 << (room + 1)) - 1
-    reach, steps = 1, []
-    for x in np.flatnonzero(c[: room + 1]).tolist():
-        k, left = 1, min(int(c[x]), room // x)
+def completions(c: np.ndarray, room: int, most_waste: int, effort: int = 20_000) -> Iterator[tuple[int, ...]]:
+    """All maximal fillings of `room` from the counts c that leave at most `most_waste` empty, least waste first, larger
+    lengths first; of any number of lengths. Ends with None where `effort` steps did not suffice for all."""
+    lengths = np.flatnonzero(c[: room + 1])[::-1].tolist()
+    if not lengths:
+        if room <= most_waste:
+            yield ()
+        return
+    if lengths[0] == room:
+        yield (room,)  # dominates every other
+        return
+    # reach[k]: sums of lengths[k:], as bits
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x in reversed(lengths):
+        bits, k, left = reach[-1], 1, min(int(c[x]), room // x)
         while left:
             k = min(k, left)
-            new = (reach | reach << (k * x)) & mask
-            if new != reach:
-                steps.append((reach, k, x))
-                reach = new
+            bits |= bits << (k * x) & mask
             left -= k
             k *= 2
-        if reach >> room & 1:
-            break
-    at, out = reach.bit_length() - 1, []
-    for before, k, x in reversed(steps):
-        if not before >> at & 1:
-            out += [x] * k
-            at -= k * x
-    return tuple(sorted(out, reverse=True))
-
-
-def completions(c: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Up to `width` undominated fillings of `room` from the counts c, least waste first, fewer lengths first."""
-    if room <= 0:
-        return [()]
-    if c[room]:
-        return [(room,)]  # dominates every other
-    found: list[tuple[int, ...]] = []
-    have = c[:room] > 0
-    low = np.arange(room)
-
-    def pairs(total: int, most: int) -> np.ndarray:
-        """The larger lengths of pairs with this sum, largest first."""
-        x = low[(total + 1) // 2 : min(total, most + 1)]
-        x = x[have[x] & have[total - x]] if len(x) else x
-        return x[::-1]
-
-    for x in pairs(room, room)[: width + 2].tolist():
-        if 2 * x != room or c[x] >= 2:
-            found.append((x, room - x))
-    if len(found) < width:
-        tried = 0
-        for x in low[have][::-1].tolist():
-            if len(found) >= width or tried > 400:
+        reach.append(bits)
+    reach.reverse()
+    left = {x: int(c[x]) for x in lengths}
+    for waste in range(min(most_waste, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        # places in lengths chosen so far, and the next place to try
+        chosen: list[int] = []
+        k, rest = 0, room - waste
+        while True:
+            effort -= 1
+            if effort < 0:
+                yield None
+                return
+            if rest == 0:
+                if not any(n and x <= waste for x, n in left.items()):
+                    yield tuple(lengths[j] for j in chosen)
+                k = len(lengths)
+            # what the lengths from k on cannot reach, those after cannot either
+            while k < len(lengths) and reach[k] >> rest & 1 and (lengths[k] > rest or not left[lengths[k]] or not reach[k] >> (rest - lengths[k]) & 1):
+                k += 1
+            if k < len(lengths) and reach[k] >> rest & 1:
+                chosen.append(k)
+                left[lengths[k]] -= 1
+                rest -= lengths[k]
+            elif chosen:
+                k = chosen.pop()
+                left[lengths[k]] += 1
+                rest += lengths[k]
+                k += 1
+            else:
                 break
-            tried += 1
-            for y in pairs(room - x, x)[:2].tolist():
-                z = room - x - y
-                f = (x, y, z)
-                if z > 0 and all(c[v] >= f.count(v) for v in f):
-                    found.append(f)
-                    break
-    if not found:
-        found.append(_fullest(c, room))
-    out: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(_dominated(f, a) for a in out):
-            out.append(f)
-    return out[:width]
 
 
 def _bound(counts: dict[int, int], capacity: int) -> int:
@@ -174,8 +164,9 @@ def _histogram(patterns: list[Pattern]) -> dict[int, int]:
     return out
 
 
-def _branch(counts: dict[int, int], capacity: int, best: list[Pattern], nodes: int, width: int) -> list[Pattern]:
-    """Depth first through fillings around the largest length left; best is the incumbent."""
+def _branch(counts: dict[int, int], capacity: int, best: list[Pattern], nodes: int, width: int) -> tuple[list[Pattern], bool]:
+    """Depth first through the undominated fillings around the largest length left, each as often as it fits and then
+    fewer times; best is the incumbent. (the best found, whether the whole tree was seen: then none is better)."""
     total = sum(k * n for k, n in counts.items())
     bound, best_n = _bound(counts, capacity), sum(n for _, n in best)
     c = np.zeros(capacity + 1, np.int64)
@@ -183,18 +174,33 @@ def _branch(counts: dict[int, int], capacity: int, best: list[Pattern], nodes: i
         c[k] = n
     chosen: list[tuple[Pattern, int]] = []
     waste = used = tried = 0
+    complete = True
 
-    def options() -> Iterator[tuple[int, ...]]:
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+        nonlocal complete
         top = int(np.flatnonzero(c)[-1])
+        seen: list[tuple[int, ...]] = []
         c[top] -= 1
-        made = [(top, *f) for f in completions(c, capacity - top, width)]
+        made = completions(c.copy(), capacity - top, max(0, (best_n - 1) * capacity - total - waste))
         c[top] += 1
-        return iter(made)
+        for f in made:
+            if f is None or len(seen) >= width:
+                complete = False
+                return
+            if any(_dominated(f, other) for other in seen):
+                continue
+            seen.append(f)
+            f = (top, *f)
+            for n in range(min(int(c[x]) // f.count(x) for x in f), 0, -1):
+                yield f, n
 
     stack = [options()]
-    while stack and best_n > bound and tried < nodes:
-        f = next(stack[-1], None)
+    while stack and best_n > bound:
         tried += 1
+        if tried > nodes:
+            complete = False
+            break
+        f, n = next(stack[-1], (None, 0))
         if f is None:
             stack.pop()
             if chosen:
@@ -203,12 +209,8 @@ def _branch(counts: dict[int, int], capacity: int, best: list[Pattern], nodes: i
                 for x in lengths:
                     c[x] += n
             continue
-        spare = (best_n - 1) * capacity - total - waste
         each = capacity - sum(f)
-        n = min(int(c[x]) // f.count(x) for x in f)
-        if each:
-            n = min(n, max(1, spare // each))
-        if n * each > spare:
+        if n * each > (best_n - 1) * capacity - total - waste:
             continue
         for x in f:
             c[x] -= n
@@ -220,37 +222,46 @@ def _branch(counts: dict[int, int], capacity: int, best: list[Pattern], nodes: i
             stack.append(iter(()))
         else:
             stack.append(options())
-    return best
+    return best, complete or best_n <= bound
 
 
-def solve(counts: dict[int, int], capacity: int, nodes: int = 4_000, width: int = 3, rounds: int = 8) -> list[Pattern]:
-    """Patterns that hold every length as often as it occurs, in as few sequences as the search finds.
+def search(counts: dict[int, int], capacity: int, nodes: int = 4_000, width: int = 12, rounds: int = 8) -> tuple[list[Pattern], bool]:
+    """(patterns that hold every length as often as it occurs, in as few sequences as the search finds; whether that is
+    proved to be the least).
 
-    The search ends at once when a solution meets the lower bound. Beyond the first incumbent it goes on in rounds: the
-    sequences with waste and a growing number of others, those with the most pieces first, are taken apart and solved
-    anew. nodes (branches per round), width (fillings per branch) and rounds bound the search, never the rows packed.
+    The search ends at once when a solution meets the lower bound, or when it has seen the whole tree. Beyond the first
+    incumbent it goes on in rounds: the sequences with waste and a growing number of others, those with the most pieces
+    first, are taken apart and solved anew. nodes (branches per round), width (fillings per branch) and rounds bound the
+    search, never the rows packed.
     """
     best = best_fit(counts, capacity)
     bound = _bound(counts, capacity)
+    proved = sum(n for _, n in best) <= bound
     for k in range(rounds):
-        have = sum(n for _, n in best)
-        if have <= bound:
+        if proved:
             break
         some, rest, others = [], [], 25 * 2**k
         for lengths, n in sorted(best, key=lambda p: (sum(p[0]) == capacity, -len(p[0]), p[0])):
             take = n if sum(lengths) < capacity and n <= 4 * others else min(n, max(0, others))
             if sum(lengths) == capacity:
-                take = min(take, 2)
+                take = min(take, 2) if len(best) > 25 else take
             others -= take if sum(lengths) == capacity else 0
             some += [(lengths, take)] if take else []
             rest += [(lengths, n - take)] if n > take else []
         again = _histogram(some)
         fit = min(some, best_fit(again, capacity), key=lambda p: sum(n for _, n in p))
-        best = rest + _branch(again, capacity, fit, nodes, width)
+        fit, complete = _branch(again, capacity, fit, nodes, width)
+        best = rest + fit
+        proved = sum(n for _, n in best) <= bound or (complete and not rest)
     merged: dict[tuple[int, ...], int] = {}
     for lengths, n in best:
         merged[lengths] = merged.get(lengths, 0) + n
-    return list(merged.items())
+    return list(merged.items()), proved
+
+
+def solve(counts: dict[int, int], capacity: int, nodes: int = 4_000) -> list[Pattern]:
+    """The patterns of search()."""
+    return search(counts, capacity, nodes)[0]
 
 
 # ------------------------------------------------------------------ the operator
@@ -281,10 +292,12 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 4_000) -> DataFrame:
     """Adds sequence_id long and offset long to pieces, which have a column length.
 
     Every row is placed: sequences hold at most `capacity`, offsets are gapless from 0. Lengths that are null or below 1
-    get nulls and take no place; a length over capacity is an error. The order of equal lengths is open. pieces must
-    not have columns sequence_id, offset, _q_part or _q_rank of its own. What reaches the driver is a histogram of at
-    most `capacity` rows.
+    get nulls and take no place; a length over capacity is an error. The order of equal lengths is open. Columns of
+    pieces named sequence_id, offset, _q_part or _q_rank come out as _in_<name>. What reaches the driver is a histogram of
+    at most `capacity` rows.
     """
+    for name in ("sequence_id", "offset", "_q_part", "_q_rank"):
+        pieces = pieces.withColumnRenamed(name, f"_in_{name}")
     rows = materialize(_numbered(pieces), "pack-pieces")
     good = F.col("length") >= 1
     counts = materialize(rows.where(good).groupBy("length", "_q_part").count(), "pack-counts")
