@@ -38,7 +38,7 @@ class Near:
     bands: int = 32
     rows: int = 4
     #: shingles in one block of a band that is not done, and documents that ask a leader in one task
-    block: int = 100_000
+    block: int = 50_000
     asking: int = 1_000
 
 
@@ -282,12 +282,18 @@ def near_dedup(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", tex
     # bands in which documents other than the leader are still apart; bands of the same documents are one
     of = entries.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("component"))
     marks = [F.sum(F.pmod(F.xxhash64("rep"), F.lit(1 << 31))), F.bit_xor(F.xxhash64("rep", F.lit(1))), F.bit_xor(F.xxhash64("rep", F.lit(2)))]
-    open_ = of.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.sum("size") / near.block).cast("int").alias("parts"), *(m.alias(f"m{k}") for k, m in enumerate(marks)))
-    open_ = open_.where("least <> most").groupBy("m0", "m1", "m2").agg(F.min(F.struct("key", "parts")).alias("k")).select("k.key", "k.parts")
-    open_ = materialize(open_, "near-open")
-    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    members = of.join(open_, "key").select("key", F.col("rep").alias("node"), "component", "parts", mine.alias("mine"))
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("mine")))
+    within = of.groupBy("key", "component").agg(F.sum("size").alias("size"), *(m.alias(f"m{k}") for k, m in enumerate(marks)))
+    whole = [F.sum("m0"), F.bit_xor("m1"), F.bit_xor("m2")]
+    open_ = within.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), *(m.alias(f"m{k}") for k, m in enumerate(whole)))
+    open_ = open_.where("n > 1").groupBy("m0", "m1", "m2").agg(F.min(F.struct("key", "top", "size")).alias("k"))
+    # the largest component's documents, which need no comparison among one another, are in blocks of their own
+    blocks = [F.ceil(x / near.block).cast("int") for x in (F.col("k.top.size"), F.col("k.size") - F.col("k.top.size"))]
+    open_ = materialize(open_.select("k.key", F.col("k.top.component").alias("top"), blocks[0].alias("p"), blocks[1].alias("q")), "near-open")
+    at_top = F.col("component") == F.col("top")
+    mine = F.when(at_top, F.pmod(F.xxhash64("rep"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("rep"), F.col("q"))).cast("int")
+    members = of.join(open_, "key").select("key", F.col("rep").alias("node"), "component", "p", "q", at_top.alias("at_top"), mine.alias("mine"))
+    last = F.col("p") + F.col("q") - 1
+    others = F.when(F.col("at_top"), F.sequence("p", last)).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("mine")))
     dealt = (
         members.select("key", "node", "component", "mine", F.explode(others).alias("other"))
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "component", "node")
