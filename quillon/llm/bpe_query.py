@@ -12,6 +12,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: the digests of its ids and of what they decode to; a null or empty text has no ids."""
     rows = encode_documents(table(spark, sf_dir, "documents"), public_path(VOCABULARY))
     return rows.select(
         "doc_id",

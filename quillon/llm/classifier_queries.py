@@ -15,10 +15,12 @@ def _shown(scores: DataFrame, least: float) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have the score of a text without terms."""
     docs = table(spark, sf_dir, "documents")
     return _shown(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have the score of statistics that are all zero."""
     docs = table(spark, sf_dir, "documents")
     return _shown(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)

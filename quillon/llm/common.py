@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, columns stay prunable, and an
     executor's loss costs nothing that was written."""
@@ -40,6 +44,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
+    for made in _made:
+        made.append(out)
+    return out
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables that materialize() writes meanwhile."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+
+
+def materialize_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, as a table; all other tables that it wrote are deleted."""
+    with tables_made() as made:
+        out = materialize(make(), name)
+    for other in made:
+        if other is not out:
+            discard(other)
     return out
 
 

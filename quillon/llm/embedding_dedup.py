@@ -266,6 +266,7 @@ def embedding_dedup(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id"
     both = pairs.join(vector.select(F.col("rep").alias("a"), F.col("_q_vector").alias("va")), "a").join(vector.select(F.col("rep").alias("b"), F.col("_q_vector").alias("vb")), "b")
     links = materialize(both.select("a", "b", "va", "vb").mapInArrow(lambda b: _verified(b, least), "a long, b long"), "vector-links")
     discard(pairs)
+    discard(labels)
     copies = different.select("rep", "copies")
     out_links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = out_links.join(copies.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "rep")

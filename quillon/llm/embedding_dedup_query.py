@@ -9,6 +9,7 @@ from .embedding_dedup import embedding_dedup
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per vector; one that is null, empty, zero or not finite, or whose label is null, is a component of its own."""
     return embedding_dedup(table(spark, sf_dir, "embeddings"), least=0.98)
 
 

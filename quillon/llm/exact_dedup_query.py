@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null, empty and blank texts are equal."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -12,6 +12,8 @@ from .license_scan import BLANK_LINES, TEMPLATES, license_scan
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; one with a null or empty text has no licence of its own. A null source or language is no step of
+    the path."""
     docs = table(spark, sf_dir, "documents")
     id_ = F.col("doc_id")
     name = F.when(id_ % 50 == 0, F.concat(F.lit("LICENSE."), id_.cast("string"))).otherwise(F.concat(id_.cast("string"), F.lit(".txt")))

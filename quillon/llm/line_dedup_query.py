@@ -10,6 +10,7 @@ from .line_dedup import line_dedup
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; a null or empty text is one empty line."""
     rows = line_dedup(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -9,6 +9,7 @@ from .minhash import Near, near_dedup
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; one without words is a component of its own."""
     return near_dedup(table(spark, sf_dir, "documents"), Near(words=3, percent=85))
 
 

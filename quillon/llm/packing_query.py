@@ -18,4 +18,5 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per piece; a document with a null or empty text is the one id that ends it."""
     return packed(table(spark, sf_dir, "documents"))

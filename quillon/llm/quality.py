@@ -179,7 +179,8 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, trees: Trees, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores `least` or more."""
+    """The rows of docs, all columns as they are, whose text scores `least` or more; null and empty texts are scored by
+    zero statistics, null and repeated ids do not matter."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

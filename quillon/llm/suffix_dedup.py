@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, local_tmp, materialize, remove_tree, schema_of, utf8_views
+from .common import discard, lean, local_tmp, materialize, remove_tree, schema_of, utf8_views
 from .induced import MEMORY_BYTES, Kept, Store, Writer, pieces, suffix_sort
 
 _GRAM = 32
@@ -451,6 +451,7 @@ def suffix_dedup(docs: DataFrame, span: int = 100, shard_bytes: int = 1 << 30, m
     total = to_sort.agg(F.sum(F.col("run").cast("long") + span)).first()[0] or 0
     wanted = to_sort.union(sources).groupBy("doc").agg(F.collect_list(F.struct("start", "run", "kind", "key")).alias("wanted")).withColumnRenamed("doc", "_q_id")
     fetched = materialize(rows.join(wanted, "_q_id").mapInArrow(lambda b: _fetch(b, span), _FETCHED), "suffix-fetched")
+    discard(spans)
     shards = max(partitions, -(-total // shard_bytes))
     shard = fetched.where(f"kind <> {_COPY}").select("key", "doc", "start", "run", "raw").repartition(shards, "key").sortWithinPartitions("doc", "start").select("doc", "start", "run", "raw")
     repeats = materialize(shard.mapInArrow(lambda b: _sort(b, span, memory), "doc long, start long, run int"), "suffix-repeats")

@@ -10,6 +10,7 @@ from .suffix_dedup import suffix_dedup
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: what was removed and the digest of the rest; a null or empty text has no bytes."""
     rows = suffix_dedup(table(spark, sf_dir, "documents"), span=100)
     return rows.select(
         "doc_id",

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import discard, lean, materialize
 from .labelled import sample
 
 BITS = 20
@@ -48,8 +48,11 @@ class Machine:
     weight: np.ndarray
     vector: np.ndarray
 
-    def scores(self, texts: list[str], cache: dict[str, tuple[int, ...]]) -> np.ndarray:
-        places = {int(t): k for k, t in enumerate(self.terms)}
+    def places(self) -> dict[int, int]:
+        return {int(t): k for k, t in enumerate(self.terms)}
+
+    def scores(self, texts: list[str], cache: dict[str, tuple[int, ...]], places: dict[int, int]) -> np.ndarray:
+        """Probabilities of label 1; cache: the places of words' terms, kept from call to call."""
         get = cache.get
         out = np.empty(len(texts))
         for row, text in enumerate(texts):
@@ -74,11 +77,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, size: int = 8, chosen: int = 8_192, epochs: int = 12, rate: float = 0.2, ridge: float = 1e-4, seed: int = 7) -> Machine:
+def learn(rows: list[np.ndarray], y: np.ndarray, size: int = 8, chosen: int = 8_192, common: int = 256, epochs: int = 12, rate: float = 0.2, ridge: float = 1e-3, seed: int = 7) -> Machine:
     """The machine from documents' terms and labels, by AdaGrad on the logistic loss, classes weighed alike.
 
     Parameters go to the `chosen` terms whose presence tells the classes apart best (chi-square over 3.84, in three
-    documents or more). Without rows, or with one class alone, the score is the class's share.
+    documents or more), and to the `common` terms that most documents have, but not more than half of them: such a term
+    may tell nothing alone and much beside another. Without rows, or with one class alone, the score is the class's share.
     """
     n = len(rows)
     share = float(np.clip(y.mean(), 1e-4, 1 - 1e-4)) if n else 0.5
@@ -94,7 +98,9 @@ def learn(rows: list[np.ndarray], y: np.ndarray, size: int = 8, chosen: int = 8_
     top = (hit * (q - miss) - miss * (p - hit)) ** 2 * n
     chi = top / np.maximum(1e-9, p * q * seen * (n - seen))
     keep = np.flatnonzero((chi > 3.84) & (seen >= 3))
-    keep = np.sort(keep[np.argsort(-chi[keep], kind="stable")][:chosen])
+    keep = keep[np.argsort(-chi[keep], kind="stable")][:chosen]
+    beside = np.flatnonzero((seen >= 3) & (2 * seen <= n))
+    keep = np.union1d(keep, beside[np.argsort(-seen[beside], kind="stable")][:common])
     if not len(keep):
         return none
     at = np.searchsorted(keep, flat)
@@ -138,10 +144,17 @@ def _termed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in made], pa.binary())], ["label", "terms"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """The machine learnt from at most `most` labelled rows of each class outside the held-out fold; the driver gets
-    these rows' term hashes."""
-    rows = sample(docs, labels, label_col, most, id_col, text_col).select("label", "_q_text").mapInArrow(_termed, "label int, terms binary").collect()
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = 4_000, most_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """The machine learnt from at most `most` labelled rows of each class outside the held-out fold, and of these, in
+    order of a hash of their terms, from as many as have `most_bytes` of term hashes (four bytes a term) together in each
+    class; the driver gets no more. Rows without text have no terms and count as such."""
+    rows = sample(docs, labels, label_col, most, id_col, text_col).select("label", "_q_text").mapInArrow(_termed, "label int, terms binary")
+    rows = materialize(rows, "toxicity-terms")
+    # at most 2 * most rows in two groups
+    order = Window.partitionBy("label").orderBy(F.xxhash64("terms"), "terms").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.withColumn("so_far", F.sum(F.octet_length("terms").cast("long")).over(order))
+    rows, made = sizes.where(F.col("so_far") <= most_bytes).select("label", "terms").collect(), rows
+    discard(made)
     return learn([np.frombuffer(r["terms"], np.int32) for r in rows], np.array([r["label"] for r in rows], np.float64))
 
 
@@ -151,8 +164,9 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
+        places = machine.places()
         for batch in lean(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.scores(texts, cache))], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.scores(texts, cache, places))], [id_col, "score"])
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
