@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import quality
-from quillon.llm.common import materialize, table
+from quillon.llm.common import discard, materialize_alone, table
 from quillon.llm.line_dedup import line_dedup
 from quillon.llm.minhash import near_dedup
 from quillon.llm.packing_query import packed
@@ -70,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other. A stage's own tables and the one it read are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        docs = materialize_alone(lambda stage=stage, before=before: stage(spark, before, sf_dir), f"pipeline-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
