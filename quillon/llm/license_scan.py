@@ -4,7 +4,8 @@ nearest ancestor directory.
 All of it is DataFrame expressions. Compared are a file's blocks (lines up to a blank one: a header, a comment, a
 paragraph of a licence), the whole text of a licence file, and single lines. The templates are the only side that is
 broadcast, and they are fixed. A unit can reach the threshold only if it has one of a template's rarer terms (the
-commoner ones alone stay below it), so only such units are taken apart.
+commoner ones alone stay below it), and only if its cosine would with all terms that no template has weighed as little
+as can be; other units are not taken apart.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, discard, materialize
+from .common import LOWER, UPPER, discard, materialize
 
 #: Statements, notices and licence texts by which files name their licence.
 TEMPLATES: list[tuple[str, str]] = [
@@ -35,7 +36,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
     ("proprietary", "All rights reserved."),
     ("MIT", "MIT License"),
-    ("MIT", "The MIT License (MIT)"),
     ("ISC", "ISC License"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
@@ -94,10 +94,9 @@ def _any_of(words: list[str]) -> str:
 
 def document_frequencies(files: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): how many of all files have each of all their terms, as a table. The empty term stands for all files."""
-    words = F.split(_lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9.+-]+")
     # a full stop or hyphen at a word's end is not part of it
-    bare = F.transform(words, lambda w: F.trim(w, F.lit(".+-")))
-    own = F.array_union(bare, F.array(F.lit("")))
+    text = F.trim(_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(".+-"))
+    own = F.array_union(F.split(text, "[.+-]*[^a-z0-9.+-]+[.+-]*"), F.array(F.lit("")))
     return materialize(files.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "license-frequencies")
 
 
@@ -143,7 +142,20 @@ def license_scan(files: DataFrame, least: float = 0.8, id_col: str = "doc_id", p
     found_in = materialize(cued, "license-units")
     # a unit that many files have is scored once
     kinds = materialize(found_in.select("content").distinct().withColumn("unit", F.monotonically_increasing_id()), "license-kinds")
-    terms = kinds.select("unit", F.explode(F.regexp_extract_all(ascii_lower(F.col("content")), F.lit(_TOKEN), F.lit(0))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("c"))
+    # By the templates' terms alone, every other one counted at the least weight there is: what stays below the threshold
+    # even so (a page of prose around a word like license) need not be taken apart.
+    tokens = F.regexp_extract_all(_lower(F.col("content")), F.lit(_TOKEN), F.lit(0))
+    listed = F.filter("tokens", lambda t: t.isin(known))
+    some = kinds.select("unit", tokens.alias("tokens")).select("unit", listed.alias("listed"), (F.size(F.array_distinct("tokens")) - F.size(F.array_distinct(listed))).alias("others"))
+    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    some = some.select("unit", "others", F.explode("listed").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("c"), F.first("others").alias("others"))
+    some = some.join(weights, "term").select("unit", "term", "others", (F.col("c") * F.col("idf")).alias("w"))
+    at_least = some.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w")) + F.first("others")).alias("norm"))
+    most = some.join(templates, "term").groupBy("unit", "number").agg(F.sum(F.col("w") * F.col("part")).alias("dot")).groupBy("unit").agg(F.max("dot").alias("dot"))
+    likely = most.join(at_least, "unit").where(F.col("dot") >= (least - 1e-6) * F.col("norm")).select("unit")
+    kinds, all_kinds = materialize(kinds.join(likely, "unit"), "license-likely"), kinds
+    discard(all_kinds)
+    terms = kinds.select("unit", F.explode(tokens).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("c"))
     # a table of its own: of the join that follows Spark can then split a frequent term's units
     terms = materialize(terms, "license-terms")
     weighed = terms.join(frequencies, "term").select("unit", "term", (F.col("c") * (F.log((1.0 + total) / (1 + F.col("n"))) + 1)).alias("w"))
