@@ -30,7 +30,7 @@ _PART_BYTES = 1 << 20
 #: A longer text is marked in parts of this size, which overlap; places in a part have so many bits.
 _LONG_BYTES, _PLACE_BITS = 1 << 23, 24
 #: A marker with more contents than this is cut by markers of twice the length.
-HOT_CONTENTS = 20_000
+HOT_CONTENTS = 2_000
 _FIVE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
