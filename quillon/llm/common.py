@@ -79,10 +79,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ascii_lower(c):
-    return F.translate(c, UPPER, LOWER)
-
-
 def local_tmp() -> str:
     """A task's scratch folder on its own executor: nothing in it outlives the task."""
     import tempfile

@@ -27,7 +27,7 @@ from .common import local_tmp, remove_tree
 
 #: Bytes that one sort keeps in memory: half for arrays, a quarter for the queue, the rest for working pieces.
 MEMORY_BYTES = 128_000_000
-#: Tuples of one block of the queue, and of a piece of work.
+#: Tuples that one block of the queue has at least, and those of a piece of work.
 BLOCK_TUPLES = 16_000
 _PIECE = 1 << 17
 _HEAD = 65_536
@@ -235,11 +235,13 @@ def _blocks(counts: Kept, seeds: Kept, down: bool) -> tuple[np.ndarray, np.ndarr
     sigma = len(counts)
     first, before, many = [], [], []
     total, n_seeds, block, was = 0, 0, -1, False
+    # some thousands of blocks at most: each has its own parts on disk
+    size = max(BLOCK_TUPLES, sum(int((counts[a:b] + seeds[a:b]).sum()) for a, b in pieces(sigma)) >> 11)
     for a, b in pieces(sigma):
         x, y = (k[sigma - b : sigma - a][::-1] if down else k[a:b] for k in (counts, seeds))
         both = x + y
-        heavy = both >= BLOCK_TUPLES
-        own = (total + np.cumsum(both)) // BLOCK_TUPLES
+        heavy = both >= size
+        own = (total + np.cumsum(both)) // size
         new = np.r_[own[0] != block, own[1:] != own[:-1]] | heavy | np.r_[was, heavy[:-1]]
         at = np.flatnonzero(new)
         first.append(a + at)

@@ -29,6 +29,8 @@ _GRAM = 32
 _PART_BYTES = 1 << 20
 #: A longer text is marked in parts of this size, which overlap; places in a part have so many bits.
 _LONG_BYTES, _PLACE_BITS = 1 << 23, 24
+#: Stretches of a shard that are worked on at once.
+_AT_ONCE = 512
 #: A marker with more contents than this is cut by markers of twice the length.
 HOT_CONTENTS = 2_000
 _FIVE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -343,7 +345,7 @@ def _repeats(batches: Iterable[pa.RecordBatch], span: int, memory: int, store: S
     table, shift = _often(store, raw)
     text_, rows, skips, froms, counts = Writer(store, np.uint8), Writer(store, np.int64), Writer(store, np.int64), Writer(store, np.int64), Writer(store, np.int32)
     byte = 0
-    for a, b in pieces(len(run), 1 << 9):
+    for a, b in pieces(len(run), _AT_ONCE):
         r = run[a:b].astype(np.int64)
         size = r + span - 1
         part = raw[byte : byte + int(size.sum())]
