@@ -39,7 +39,7 @@ class Near:
     rows: int = 4
     #: shingles in one block of a band that is not done, and documents that ask a leader in one task
     block: int = 50_000
-    asking: int = 1_000
+    asking: int = 250
 
 
 _words: dict[bytes, int] = {}

@@ -50,7 +50,7 @@ def joined(labels, parts=1, grid=1):
     return found, sum(made)
 
 
-@pytest.mark.parametrize(("parts", "grid"), [(1, 1), (1, 2), (3, 1), (2, 3)])
+@pytest.mark.parametrize(("parts", "grid"), [(1, 1), (1, 2), (3, 1), (2, 2)])
 def test_all_links_with_few_comparisons(parts, grid):
     rng = np.random.default_rng(parts * 10 + grid)
     labels = {f"l{k}": vectors(rng, 200) for k in range(5)}
