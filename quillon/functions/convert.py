@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -96,24 +95,21 @@ def format_finite(a: Column) -> Column:
 _DAY_MS = 86_400_000
 
 
-def _number(s: Column, group: int, pattern: str) -> Column:
-    """A group of digits as a number; 0 where there is none."""
-    return F.coalesce(F.regexp_extract(s, pattern, group).try_cast("int"), F.lit(0))
+def _number(part: Column) -> Column:
+    """Digits as a number; 0 where there are none."""
+    return F.coalesce(part.try_cast("int"), F.lit(0))
 
 
-def _iso_day(s: Column, pattern: str) -> Column:
-    """Groups 1 to 6 are year, month, day, day of the year, week, day of the week; null for a day that is not there."""
-    part = partial(_number, s, pattern=pattern)
-    year = F.regexp_extract(s, pattern, 1)
-    day = F.concat_ws("-", year, F.regexp_extract(s, pattern, 2), F.regexp_extract(s, pattern, 3)).try_cast("date")
+def _iso_day(year: Column, month: Column, day: Column, day_of_year: Column, week: Column, day_of_week: Column) -> Column:
+    """The date by month, by day of the year or by week; null for a day that is not there."""
     january = F.concat(year, F.lit("-01-01")).try_cast("date")
-    counted = F.date_add(january, part(group=4) - 1)
+    counted = F.date_add(january, _number(day_of_year) - 1)
     fourth = F.date_add(january, 3)  # always in week 1
-    of_week = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (part(group=5) - 1) * 7 + part(group=6) - 1)
-    in_week = part(group=6).between(1, 7) & (part(group=5) >= 1) & (F.extract(F.lit("YEAROFWEEK"), of_week) == year.try_cast("int"))
+    of_week = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (_number(week) - 1) * 7 + _number(day_of_week) - 1)
+    in_week = _number(day_of_week).between(1, 7) & (_number(week) >= 1) & (F.extract(F.lit("YEAROFWEEK"), of_week) == year.try_cast("int"))
     return (
-        F.when(F.regexp_extract(s, pattern, 2) != "", day)
-        .when(F.regexp_extract(s, pattern, 4) != "", F.when((part(group=4) >= 1) & (F.year(counted) == year.try_cast("int")), counted))
+        F.when(month != "", F.concat_ws("-", year, month, day).try_cast("date"))
+        .when(day_of_year != "", F.when((_number(day_of_year) >= 1) & (F.year(counted) == year.try_cast("int")), counted))
         .when(in_week, of_week)
     )
 
@@ -124,16 +120,21 @@ def _iso(s: Column, dash: str, colon: str, offset: str) -> Column:
         rf"^(\d{{4}}){dash}(?:(\d{{2}}){dash}(\d{{2}})|(\d{{3}})|W(\d{{2}}){dash}(\d))"
         rf"[Tt](\d{{2}})(?:{colon}(\d{{2}})(?:{colon}(\d{{2}}))?)?(?:[.,](\d+))?(?:[Zz]|([+-])(\d{{2}})(?:{offset}(\d{{2}}))?)\z"
     )
-    part = partial(_number, s, pattern=pattern)
-    hour, minute, second = (part(group=k) for k in (7, 8, 9))
-    digits = F.regexp_extract(s, pattern, 10)
-    last = F.when(F.regexp_extract(s, pattern, 9) != "", 1).when(F.regexp_extract(s, pattern, 8) != "", 60).otherwise(3600)
-    # nine digits of a fraction; of seconds three are milliseconds
-    fraction = F.call_function("div", F.rpad(F.left(digits, F.lit(9)), 9, "0").try_cast("bigint") * last, F.lit(1_000_000))
-    away = (part(group=12) * 60 + part(group=13)) * 60_000 * F.when(F.regexp_extract(s, pattern, 11) == "-", -1).otherwise(1)
-    good = s.rlike(pattern) & (hour < 24) & (minute < 60) & (second < 60) & (part(group=12) <= 25) & (part(group=13) < 60)
-    days = F.unix_date(_iso_day(s, pattern)).cast("bigint")
-    return F.when(good, days * _DAY_MS + ((hour * 60 + minute) * 60 + second) * 1000 + F.coalesce(F.when(digits != "", fraction), F.lit(0)) - away)
+
+    def milliseconds(p: Column) -> Column:
+        hour, minute, second, off_hour, off_minute = (_number(F.get(p, F.lit(k))) for k in (6, 7, 8, 11, 12))
+        digits = F.get(p, F.lit(9))
+        last = F.when(F.get(p, F.lit(8)) != "", 1).when(F.get(p, F.lit(7)) != "", 60).otherwise(3600)
+        # nine digits of a fraction; of seconds three are milliseconds
+        fraction = F.call_function("div", F.rpad(F.left(digits, F.lit(9)), 9, "0").try_cast("bigint") * last, F.lit(1_000_000))
+        away = (off_hour * 60 + off_minute) * 60_000 * F.when(F.get(p, F.lit(10)) == "-", -1).otherwise(1)
+        good = (hour < 24) & (minute < 60) & (second < 60) & (off_hour <= 25) & (off_minute < 60)
+        days = F.unix_date(_iso_day(*(F.get(p, F.lit(k)) for k in range(6)))).cast("bigint")
+        return F.when(good, days * _DAY_MS + ((hour * 60 + minute) * 60 + second) * 1000 + F.coalesce(F.when(digits != "", fraction), F.lit(0)) - away)
+
+    # one match for all groups; the list of one binds them, so that each use does not match anew
+    groups = F.split(F.regexp_replace(s, pattern, ",".join(f"${k}" for k in range(1, 14))), ",", -1)
+    return F.when(s.rlike(pattern), F.element_at(F.transform(F.array(groups), milliseconds), 1))
 
 
 def parse_datetime(s: Column) -> Column:
