@@ -24,8 +24,10 @@ _LETTER = "a-zªµºß-öø-ÿĀ-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \x85\xa0"
 _LATIN = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-#: Texts with other characters, or with one whose lower case is two, are cut by the library's own normaliser and splitter.
-_OTHER = re.compile("[^\x00-\u024f]|\u0130")
+#: Texts with other characters, or with one whose lower case is two or another, are cut by the library's own normaliser
+#: and splitter.
+_FAR = "".join(c for c in map(chr, range(0x250)) if len(c.lower()) > 1 or c.lower() > "\u024f")
+_OTHER = re.compile(f"[^\x00-\u024f]|[{_FAR}]")
 #: Distinct words kept by one encoder; beyond it the cache starts anew.
 CACHE_WORDS = 200_000
 #: Longer words are encoded each time, so that the cache is bounded in bytes too.
