@@ -1,9 +1,10 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
-A text is normalised and cut into words; each distinct word is encoded once while it stays in a bounded cache. The
-symbols of the words missing from the cache lie in one flat array. The rank of every adjacent pair is found by binary
-search in the sorted pair keys; each round takes each word's lowest rank, merges that pair wherever the word has it,
-looks up only the pairs that the merges made, and sets words without a known pair aside.
+A batch's texts are normalised and cut into words as one array of bytes; each distinct word of the batch is looked up
+once in a bounded cache, and the texts' ids are gathered by the words' codes. The symbols of the words missing from the
+cache lie in one flat array. The rank of every adjacent pair is found by binary search in the sorted pair keys; each
+round takes each word's lowest rank, merges that pair wherever the word has it, looks up only the pairs that the merges
+made, and sets words without a known pair aside.
 """
 
 from __future__ import annotations
@@ -23,18 +24,77 @@ from .common import lean
 _LETTER = "a-zªµºß-öø-ÿĀ-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t-\r \x85\xa0"
-_LATIN = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 #: Texts with other characters, or with one whose lower case is two or another, are cut by the library's own normaliser
 #: and splitter.
 _FAR = "".join(c for c in map(chr, range(0x250)) if len(c.lower()) > 1 or c.lower() > "\u024f")
 _OTHER = re.compile(f"[^\x00-\u024f]|[{_FAR}]")
-#: Distinct words kept by one encoder; beyond it the cache starts anew.
+#: What a character of a lower-cased text is to the cutting. Runs of letters and of signs are words, digits each by itself.
+_GAP, _LETTERS, _DIGIT, _SIGNS = range(4)
+_KIND = np.full(0x250, _SIGNS, np.uint8)
+for _k, _chars in ((_LETTERS, _LETTER), (_DIGIT, _NUMBER), (_GAP, _SPACE)):
+    _KIND[[c for c in range(0x250) if re.match(f"[{_chars}]", chr(c))]] = _k
+_BYTE_KIND = _KIND[:128].tobytes() + bytes(128)
+#: Distinct words kept by one encoder, at most half of them new; when those are full, they take the place of the older.
 CACHE_WORDS = 200_000
 #: Longer words are encoded each time, so that the cache is bounded in bytes too.
 CACHE_CHARS = 64
+#: Words merged at once: arrays that stay small cost less than fewer rounds do.
+_MERGE_WORDS = 4_000
 _NONE = np.int64(1) << 60
 
 
+def _plain(text: str) -> str | None:
+    """The normalised text, or None where the library has to do it."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        try:
+            text.encode("latin-1")  # faster than the search
+        except UnicodeEncodeError:
+            if _OTHER.search(text):
+                return None
+    return text.lower()
+
+
+def _list(column: pa.Array) -> list[bytes]:
+    """A large binary column without nulls as bytes; to_pylist() takes four times as long."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return [b""] * len(column)
+    at = np.frombuffer(offsets, np.int64, len(column) + 1 + column.offset)[column.offset :].tolist()
+    data = memoryview(data)[at[0] : at[-1]].tobytes()
+    return [data[i - at[0] : j - at[0]] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _word_bytes(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts in order, which of them each text begins with) of texts from _plain()."""
+    raw = [t.encode() for t in texts]
+    joined = b" ".join([*raw, b"   "])
+    data = np.frombuffer(joined, np.uint8)
+    kind = np.frombuffer(bytearray(joined.translate(_BYTE_KIND)), np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)  # of characters of two bytes; there are no longer ones
+    kind[lead] = kind[lead + 1] = _KIND[(data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F]
+    start = np.empty(len(data), bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _DIGIT
+    start[lead + 1] = False
+    keep = kind != _GAP
+    start &= keep
+    # 's 't 'm 'd 're 've 'll are words where the apostrophe is not inside a run of signs; letters after them are others
+    at = np.flatnonzero(start & (data == 39))
+    a, b = data[at + 1], data[at + 2]
+    two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+    one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+    start[at[one | two] + 1] = False
+    after = np.concatenate([at[one] + 2, at[two] + 3])
+    start[after[kind[after] == _LETTERS]] = True
+    ends = np.cumsum([len(r) + 1 for r in raw]) if raw else np.zeros(0, np.int64)
+    first = np.searchsorted(np.flatnonzero(start), np.r_[0, ends])
+    kept = data[keep]
+    offsets = np.append(np.flatnonzero(start[keep]), len(kept)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)]), first
+
+
 def _byte_letters() -> dict[int, str]:
     """The usual one-to-one map from byte values to printable characters of byte-level BPE files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,37 +140,29 @@ class BpeTokenizer:
         self._splitter = pre_tokenizers.Split(Regex(split), "removed", invert=True)
         self._special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self._mark = re.compile("|".join(sorted({re.escape(x[:2]) for x in self.added}))) if self.added else None
-        self._cache: dict[str, bytes] = {}
+        self._added_bytes = {x.encode(): int(i).to_bytes(4, "little") for x, i in self.added.items()}
+        self._cache: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 32) | right
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._rank[at], _NONE)
 
-    def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            if _OTHER.search(plain := unicodedata.normalize("NFC", text)):
-                return [w for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text))]
-            text = plain
-        return _LATIN.findall(text.lower())
-
-    def _cut(self, text: str | None) -> list[str]:
-        """A text's words in order; a string of an added token stands for itself."""
-        if not text:
-            return []
-        if self._mark and self._mark.search(text):
-            out: list[str] = []
-            at = 0
-            for m in self._special.finditer(text):
-                out += self._words(text[at : m.start()])
-                out.append(m[0])
+    def _cut(self, text: str) -> list[bytes]:
+        """A text's words in order, by the library; a string of an added token stands for itself."""
+        out: list[bytes] = []
+        at = 0
+        for m in [*(self._special.finditer(text) if self._special else ()), None]:
+            end = m.start() if m else len(text)
+            out += [w.encode() for w, _ in self._splitter.pre_tokenize_str(self._normalizer.normalize_str(text[at:end]))]
+            if m:
+                out.append(m[0].encode())
                 at = m.end()
-            return out + self._words(text[at:])
-        return self._words(text)
+        return out
 
-    def _merge(self, words: list[str]) -> list[bytes]:
+    def _merge(self, raw: list[bytes]) -> list[bytes]:
         """Each word's ids as bytes, by merge rounds over all of them."""
-        raw = [w.encode() for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         symbol = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         ends = np.cumsum(lengths) - 1
@@ -158,36 +210,55 @@ class BpeTokenizer:
         ends = (np.cumsum(np.bincount(word, minlength=len(raw))) * 4).tolist()
         return [out[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Each distinct word's ids as bytes, from the cache or else by merges."""
+        most = CACHE_WORDS // 2
+        if len(self._cache) >= most:
+            self._cache, self._older = {}, self._cache
+        cache, older = self._cache, self._older
+        out = list(map(cache.get, words))
+        missing = []
+        for k in [k for k, b in enumerate(out) if b is None]:
+            w = words[k]
+            b = older.get(w) or self._added_bytes.get(w)
+            if b is None:
+                missing.append(k)
+            else:
+                out[k] = b
+                if len(cache) < most:
+                    cache[w] = b
+        for at in range(0, len(missing), _MERGE_WORDS):
+            part = missing[at : at + _MERGE_WORDS]
+            for k, b in zip(part, self._merge([words[k] for k in part]), strict=True):
+                out[k] = b
+                if len(words[k]) <= CACHE_CHARS and len(cache) < most:
+                    cache[words[k]] = b
+        return out
+
+    def _gather(self, words: pa.Array, first: np.ndarray) -> list[bytes]:
+        """The ids of each text, whose words are those from first[k] to first[k + 1]."""
+        codes = words.dictionary_encode()
+        ids = pa.array(self._ids(_list(codes.dictionary)), pa.large_binary()).take(codes.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int64, len(ids) + 1)[first]
+        return _list(pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(at), data]))
+
     def encode_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self._cache) > CACHE_WORDS:
-            self._cache.clear()
-        get = self._cache.get
-        out: list[list[bytes | None]] = []
-        gaps: list[tuple[list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
-
-        def fill() -> None:
-            made = {x: int(i).to_bytes(4, "little") for x, i in self.added.items() if x in missing}
-            words = [w for w in missing if w not in made]
-            made.update(zip(words, self._merge(words) if words else [], strict=True))
-            self._cache.update((w, made[w]) for w in words if len(w) <= CACHE_CHARS)
-            for words, got in gaps:
-                got[:] = [made[w] if b is None else b for w, b in zip(words, got, strict=True)]
-            gaps.clear()
-            missing.clear()
-
+        plain: list[str] = []
+        cut: list[list[bytes]] = []
+        kinds: list[bool] = []  # whether a text is among the plain ones
         for t in texts:
-            words = self._cut(t)
-            got = list(map(get, words))
-            out.append(got)
-            if None in got:
-                gaps.append((words, got))
-                missing.update([w for w, b in zip(words, got, strict=True) if b is None])
-                if len(missing) > 50_000:
-                    fill()
-        fill()
-        return list(map(b"".join, out))
+            low = _plain(t or "") if not (t and self._mark and self._mark.search(t)) else None
+            kinds.append(low is not None)
+            if low is None:
+                cut.append(self._cut(t))
+            else:
+                plain.append(low)
+        made = iter(self._gather(*_word_bytes(plain)))
+        first = np.cumsum([0, *map(len, cut)])
+        rest = iter(self._gather(pa.array([w for words in cut for w in words], pa.large_binary()), first) if cut else ())
+        return [next(made) if k else next(rest) for k in kinds]
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(b, "<u4") for b in self.encode_bytes(texts)]
@@ -221,7 +292,7 @@ def public_path(name: str) -> str:
 
 
 #: Characters encoded at once; a batch of Arrow rows is cut at it, a single text never is.
-_PART_CHARS = 2_000_000
+_PART_CHARS = 1_000_000
 
 
 def text_parts(texts: list[str | None]) -> Iterator[slice]:
